@@ -182,12 +182,13 @@ def severity_grades(slots: list[np.ndarray], toxic: np.ndarray, grades: int = GR
     return np.where(bad, 1 + (count[:, None] > cuts[None, :]).sum(axis=1), 0)
 
 
-def fit_ordinal(slots: list[np.ndarray], grade: np.ndarray, epochs: int = 8, alpha: float = 0.5, beta: float = 1.0, l1: float = 2.0, l2: float = 0.0, least_odds: float = 1.5) -> SeverityModel:
+def fit_ordinal(slots: list[np.ndarray], grade: np.ndarray, steps: int = 100_000, alpha: float = 0.5, beta: float = 1.0, l1: float = 2.0, l2: float = 0.0, least_odds: float = 1.5) -> SeverityModel:
     """Cumulative logits by proximal adaptive gradient steps.
 
     Features whose log odds between grade 0 and the others stay under ``least_odds`` either way, as those
     of the common words of a language do, and those that L1 outweighs have zero weight: a long text
-    doesn't gather a score from words of no account.
+    doesn't gather a score from words of no account. The rows are gone through as often as it takes for
+    ``steps`` steps.
     """
     levels = int(grade.max()) if len(grade) else 0
     if levels == 0:
@@ -200,7 +201,7 @@ def fit_ordinal(slots: list[np.ndarray], grade: np.ndarray, epochs: int = 8, alp
     share = np.array([(grade >= k).mean() for k in range(1, levels + 1)])
     theta = np.maximum.accumulate(-np.log(np.clip(share, 1e-3, 0.999) / (1 - np.clip(share, 1e-3, 0.999))) + 1e-3 * np.arange(levels))
     step = np.ones(levels)
-    for _ in range(epochs):
+    for _ in range(-(-steps // len(slots))):
         for s, y in zip(slots, grade.tolist()):
             zs = z[s]
             w = np.where(np.abs(zs) <= l1, 0.0, -(zs - np.sign(zs) * l1) / ((beta + np.sqrt(n[s])) / alpha + l2))
