@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillframe.llm import bpe, classifiers, simhash, token_counts, token_output
+from quillframe.llm import bpe, classifiers, decontamination, simhash, token_counts, token_output, winnowing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_output(_table(spark, sf_dir, "documents"))
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -23,6 +27,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifiers.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifiers.toxicity_grades(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -36,8 +44,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_output, op3_simhash, op5_quality, op7_toxicity, op8_bpe, op10_token_counts)}
+    return {f.__name__: f for f in (op1_token_output, op2_fingerprints, op3_simhash, op5_quality, op6_decontamination, op7_toxicity, op8_bpe, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_fingerprints": winnowing.sql()}
