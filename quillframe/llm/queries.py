@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillframe.llm import bpe, classifiers, decontamination, simhash, token_counts, token_output, winnowing
+from quillframe.llm import bpe, classifiers, decontamination, simhash, site_templates, token_counts, token_output, winnowing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,12 +39,16 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(_table(spark, sf_dir, "documents"))
 
 
+def op9_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_templates.extract_text(_table(spark, sf_dir, "pages"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_output, op2_fingerprints, op3_simhash, op5_quality, op6_decontamination, op7_toxicity, op8_bpe, op10_token_counts)}
+    return {f.__name__: f for f in (op1_token_output, op2_fingerprints, op3_simhash, op5_quality, op6_decontamination, op7_toxicity, op8_bpe, op9_site_templates, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
