@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillframe.llm import bpe, classifiers, decontamination, simhash, site_templates, token_counts, token_output, winnowing
+from quillframe.llm import bpe, classifiers, decontamination, katz, simhash, site_templates, token_counts, token_output, winnowing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op4_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(_table(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifiers.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -48,7 +52,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_output, op2_fingerprints, op3_simhash, op5_quality, op6_decontamination, op7_toxicity, op8_bpe, op9_site_templates, op10_token_counts)}
+    return {f.__name__: f for f in (op1_token_output, op2_fingerprints, op3_simhash, op4_katz, op5_quality, op6_decontamination, op7_toxicity, op8_bpe, op9_site_templates, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
