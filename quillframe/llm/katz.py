@@ -34,7 +34,7 @@ from quillframe.llm.textblocks import mix64
 
 CUT = 5
 #: Bits of a token in a packed key; tokens of a block; tokens that a partition should hold.
-SHIFT, BLOCK_TOKENS, PARTITION_TOKENS = 21, 4_000_000, 8_000_000
+SHIFT, BLOCK_TOKENS, PARTITION_TOKENS = 21, 1_500_000, 8_000_000
 _MASK = (1 << SHIFT) - 1
 ROWS = "q int, kind string, keys binary, vals binary"
 _ROWS = pa.schema([("q", pa.int32()), ("kind", pa.string()), ("keys", pa.binary()), ("vals", pa.binary())])
@@ -327,10 +327,12 @@ def score_tokens(tokens: DataFrame, model: KatzModel) -> DataFrame:
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for refs, ids in _blocks(batches, BLOCK_TOKENS):
             keys, doc = trigram_keys(ids, bos)
+            del ids
             order = np.argsort(keys, kind="stable")
-            keys, doc = keys[order], doc[order]
+            keys, doc = keys[order], doc[order].astype(np.int32)
+            del order
             found = []
-            for q, k, d in _by_partition(layout.of(keys), keys, doc):
+            for q, k, d in _by_partition(layout.of(keys).astype(np.int32), keys, doc):
                 at = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
                 n = np.diff(np.append(at, len(k)))
                 own, index = np.unique(d, return_inverse=True)
