@@ -32,7 +32,13 @@ _BLOCK = frozenset("address article aside blockquote body br dd div dl dt fields
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _CLOSES |= {b: {"p"} for b in _BLOCK - {"br", "body", "html"} if b not in _CLOSES}
 _WALL = frozenset("html body div article section table ul ol dl nav aside main footer header td".split())
-_SPACE = re.compile(r"\s+")
+#: White space that isn't one single space.
+_SPACE = re.compile(r"\s\s+|[^\S ]")
+
+
+def collapse(source: str) -> str:
+    """Runs of white space as one space, once for the whole page, so that subtrees are hashed as they stand."""
+    return _SPACE.sub(" ", source)
 
 
 def parse(source: str) -> tuple[list[tuple[str, int, int]], list[tuple[int, int, str]]]:
@@ -87,18 +93,24 @@ def parse(source: str) -> tuple[list[tuple[str, int, int]], list[tuple[int, int,
 
 def subtree_hashes(source: str) -> list[tuple[int, int, int]]:
     """(start, end, hash) of the elements that can be templates: not html, head and body, and not short."""
-    return [(a, b, xxhash.xxh64_intdigest(_SPACE.sub(" ", source[a:b])) - (1 << 63)) for name, a, b in parse(source)[0] if b - a >= MIN_CHARS and name not in ("html", "head", "body")]
+    source = collapse(source)
+    return [(a, b, _hash(source[a:b])) for name, a, b in parse(source)[0] if b - a >= MIN_CHARS and name not in ("html", "head", "body")]
+
+
+def _hash(source: str) -> int:
+    return xxhash.xxh64_intdigest(source.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
 def extract(source: str, templates: set[int]) -> tuple[str, int]:
     """The text without the outermost subtrees whose hash is a template, and how many those were."""
+    source = collapse(source)
     elements, markup = parse(source)
     gone, removed, end = [], 0, -1
     for name, a, b in elements:
         if a < end:
             continue
         hidden = name in _HIDDEN
-        if hidden or (templates and b - a >= MIN_CHARS and name not in ("html", "head", "body") and xxhash.xxh64_intdigest(_SPACE.sub(" ", source[a:b])) - (1 << 63) in templates):
+        if hidden or (templates and b - a >= MIN_CHARS and name not in ("html", "head", "body") and _hash(source[a:b]) in templates):
             gone.append((a, b))
             removed += not hidden
             end = b
@@ -112,12 +124,13 @@ def extract(source: str, templates: set[int]) -> tuple[str, int]:
                 at = min(a, gone[k][1])
                 continue
             stop = min(a, gone[k][0]) if k < len(gone) else a
-            out.append(_SPACE.sub(" ", entities.unescape(source[at:stop])))
+            piece = source[at:stop]
+            out.append(" ".join(("." + entities.unescape(piece) + ".").split())[1:-1] if "&" in piece else piece)
             at = stop
         at = max(at, b)
         if name.lstrip("/") in _BLOCK:
             out.append("\n")
-    lines = (_SPACE.sub(" ", line).strip() for line in "".join(out).split("\n"))
+    lines = (" ".join(line.split()) for line in "".join(out).split("\n"))
     return "\n".join(line for line in lines if line), removed
 
 
@@ -146,6 +159,7 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES) -> tuple[DataFrame,
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(hosts, pa.string()), pa.array(found, pa.int64())], names=["page_key", "host", "hash"])
 
     nodes = pages.where("html is not null and host is not null").select("page_key", "host", "html").mapInArrow(run, "page_key long, host string, hash long")
+    nodes = shared.table(nodes, "nodes")
     counts = nodes.distinct().groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n_pages")).where(F.col("n_pages") >= min_pages)
     return nodes, counts
 
