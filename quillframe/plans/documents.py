@@ -285,6 +285,20 @@ def style_mapping(source: DataFrame, target: DataFrame, pairs: DataFrame, overri
     return style_ops.remap(used, src_index, mapped, bp_index).select("doc_id", "style_id", "new_id")
 
 
+def apply_mapping(parts: DataFrame, mapping: DataFrame) -> DataFrame:
+    """mapping: doc_id, style_id, new_id. New paragraph styles; nothing else changes."""
+    held = mapping.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("style_id", "new_id"))).alias("map"))
+
+    def change(p: Package, group: pd.DataFrame) -> None:
+        m, doc = group["map"].iloc[0], p.get(packages.DOCUMENT)
+        if doc is not None and m is not None:
+            xml, n = X.remap_styles(doc, dict(m.items() if isinstance(m, dict) else m))
+            if n:
+                p.set(packages.DOCUMENT, xml)
+
+    return _grouped(_columns(parts).join(held, "doc_id", "left"), change)
+
+
 def transplant(blueprints: DataFrame, sources: DataFrame, pairs: DataFrame, clean_notes: bool = False) -> DataFrame:
     """Parts of each pair's blueprint with the body of its source; doc_id is the source's.
 
