@@ -181,7 +181,8 @@ def keep_one(docs: DataFrame, distance: int = DISTANCE, recall: float = RECALL,
     gone = found.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
     ids = docs.select(F.col(id_col).cast("long").alias("_gone")).where("_gone is not null").groupBy("_gone").count().where("count > 1").select("_gone")
     repeated = shared.table(ids, "repeated")
-    away = gone.unionByName(repeated)
+    # texts move to the ids by one plan at every size: a broadcast would hold only for small corpora
+    away = gone.unionByName(repeated).hint("merge")
 
     def match(other: DataFrame):
         return docs[id_col].cast("long") == other["_gone"]
