@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillframe.functions.text import trim_all
+from quillframe.functions.text import SPACE
 
 #: Words that a digit follows, by how far their level goes.
 _NUMBERED = (
@@ -31,32 +31,35 @@ def prefixes(level: int) -> list[str]:
     return [word.format(level) for word, most in _NUMBERED if level <= most]
 
 
-def _any(tests: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, tests)
-
-
-def classify_style(name: Column) -> Column:
-    """STRUCT<class, heading_level> of a style name, case and outer white space ignored; null for null.
+def classify_style(name: str = "name") -> Column:
+    """STRUCT<class, heading_level> of a style name (SQL text of a string), case and outer white space ignored; null for null.
 
     Levels are tried from 1 to 9 by prefix, so that "heading 10" is level 1; then, for each keyword in
-    turn, the digit after its first occurrence; then titles, parts of names, and body text.
+    turn, the digit after its first occurrence; then titles, parts of names, and body text. The name is
+    trimmed once (the lambda binds it), and the expression is parsed from text: it has too many parts to
+    be built call by call.
     """
-    n = trim_all(F.lower(name))
-
-    def is_(label: str, level: Column | int = 0) -> Column:
-        return F.struct(F.lit(label).alias("class") if isinstance(level, int) else F.concat(F.lit(label), level.cast("string")).alias("class"), F.lit(level).cast("int").alias("heading_level") if isinstance(level, int) else level.cast("int").alias("heading_level"))
-
-    out = F.when(name.isNull(), F.lit(None))
-    for level in range(1, 10):
-        out = out.when(_any([n.startswith(p) for p in prefixes(level)]), F.struct(F.lit(f"heading{level}").alias("class"), F.lit(level).alias("heading_level")))
-    for word in KEYWORDS:
-        tail = F.substring(n, F.locate(word, n) + len(word), F.length(n))
-        digit = F.regexp_extract(tail, r"^[ \t_-]*0*([1-9])", 1)
-        out = out.when((F.locate(word, n) > 0) & (digit != ""), is_("heading", F.when(digit != "", digit).cast("int")))
-    out = out.when(n.isin(TITLES), is_("title"))
+    return F.expr(_spark_sql(name))
+
+
+@lru_cache
+def _spark_sql(name: str) -> str:
+    def to(label: str, level: str) -> str:
+        return f"THEN named_struct('class', {label}, 'heading_level', {level})"
+
+    cases = ["WHEN n IS NULL THEN NULL"]
+    for k in range(1, 10):
+        cases.append("WHEN " + _sql_any("startswith(n, '{}')", prefixes(k)) + to(f"'heading{k}'", str(k)))
+    for w in KEYWORDS:
+        digit = f"regexp_extract(substring(n, locate('{w}', n) + {len(w)}), '^[ \\\\t_-]*0*([1-9])', 1)"
+        cases.append(f"WHEN locate('{w}', n) > 0 AND {digit} <> '' " + to(f"concat('heading', {digit})", f"cast(nullif({digit}, '') as int)"))
+    cases.append("WHEN n IN (" + ", ".join(f"'{t}'" for t in TITLES) + ") " + to("'title'", "0"))
     for label, words in CONTAINED.items():
-        out = out.when(_any([n.contains(w) for w in words]), is_(label))
-    return out.when(_any([n.startswith(w) for w in BODY]), is_("body")).otherwise(is_("unknown"))
+        cases.append("WHEN " + _sql_any("contains(n, '{}')", words) + to(f"'{label}'", "0"))
+    cases.append("WHEN " + _sql_any("startswith(n, '{}')", BODY) + to("'body'", "0"))
+    space = SPACE.replace("\\", "\\\\")
+    trimmed = f"regexp_replace(lower({name}), '^{space}+|{space}+$', '')"
+    return f"get(transform(array({trimmed}), n -> CASE {' '.join(cases)} ELSE named_struct('class', 'unknown', 'heading_level', 0) END), 0)"
 
 
 def _sql_any(pattern: str, words: list[str]) -> str:

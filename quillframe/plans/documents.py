@@ -1,8 +1,8 @@
 """Jobs on parts (doc_id, part_ord, part_name, data binary): extraction, rewriting, transplanting, translation.
 
 XML is parsed where its bytes are, in Python workers, in batches; what is relational about a job stays in
-DataFrame operators. Rewrites of one part are narrow. Jobs that touch several parts of a package group
-by doc_id: a package is small (a few MB), a corpus is many packages.
+DataFrame operators. Rewrites of one part are narrow. Jobs that touch several parts of a package pack
+its parts into one row: a package is small (a few MB), a corpus is many packages.
 """
 
 from __future__ import annotations
@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from functools import reduce
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +19,8 @@ from quillframe.operators import styles as style_ops
 from quillframe.sources import xmlparts as X
 
 SCANNED = (packages.DOCUMENT, packages.FOOTNOTES, packages.ENDNOTES)
+#: Bytes of parts that a task sends back at once.
+BATCH_BYTES = 16 << 20
 PARTS = "doc_id string, part_ord int, part_name string, data binary"
 
 
@@ -46,10 +47,15 @@ def extract(parts: DataFrame, part: str, schema: str, rows_of: Callable[[str], l
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rows, size = [], 0
             for doc, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows = [(doc, *r) for r in rows_of(_text(data))]
-                if rows:
+                rows += [(doc, *r) for r in rows_of(_text(data))]
+                size += len(data or b"")
+                if rows and size > BATCH_BYTES:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
+                    rows, size = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
 
     return _columns(parts).where(F.col("part_name") == part).select("doc_id", "data").mapInArrow(run, full)
 
@@ -178,13 +184,45 @@ class Package:
             self.set(packages.RELS, f'{head}<Relationship Id="rId{n}" Type="{kind_uri}" Target="{kind}.xml"/></Relationships>{tail}')
 
 
-def _grouped(parts: DataFrame, change: Callable[[Package, pd.DataFrame], None], extra: str = "") -> DataFrame:
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        p = Package([(int(o), n, bytes(d)) for o, n, d in zip(group.part_ord, group.part_name, group.data)])
-        change(p, group)
-        return pd.DataFrame({"doc_id": group.doc_id.iloc[0], "part_ord": range(len(p.rows)), "part_name": [n for n, _ in p.rows], "data": [d for _, d in p.rows]})
+def packed(parts: DataFrame, name: str = "parts") -> DataFrame:
+    """A row for each package with its parts in an array: one shuffle on doc_id, after which what else is known of packages joins in place."""
+    p = _columns(parts)
+    return p.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("part_ord", "part_name", "data"))).alias(name))
+
+
+def _package(rows: list[dict] | None) -> Package:
+    return Package([(r["part_ord"], r["part_name"], r["data"]) for r in rows or ()])
+
+
+def unpacked(rows: DataFrame, make: Callable[[dict], Package]) -> DataFrame:
+    """make(row) for each package row, as parts again; maps in a row are lists of pairs."""
+    schema = pa.schema([("doc_id", pa.string()), ("part_ord", pa.int32()), ("part_name", pa.string()), ("data", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, size = [], 0
+            for k in range(len(batch)):
+                (row,) = batch.slice(k, 1).to_pylist()
+                for n, (name, data) in enumerate(make(row).rows):
+                    held.append((row["doc_id"], n, name, data))
+                    size += len(data)
+                if held and (size > BATCH_BYTES or k == len(batch) - 1):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+                    held, size = [], 0
+
+    return rows.mapInArrow(run, PARTS)
 
-    return parts.groupBy("doc_id").applyInPandas(run, PARTS)
+
+def _grouped(parts: DataFrame, change: Callable[[Package, dict], None], side: DataFrame | None = None) -> DataFrame:
+    """change(package, row) on each package in place; side: doc_id and more columns of the row."""
+
+    def make(row: dict) -> Package:
+        p = _package(row["parts"])
+        change(p, row)
+        return p
+
+    rows = packed(parts)
+    return unpacked(rows if side is None else rows.join(side, "doc_id", "left"), make)
 
 
 def inject_footnotes(parts: DataFrame, notes: DataFrame, overwrite: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -194,15 +232,10 @@ def inject_footnotes(parts: DataFrame, notes: DataFrame, overwrite: bool = False
     it is unless ``overwrite``.
     """
     held = notes.groupBy(F.col("doc_id").cast("string").alias("doc_id")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("note_id").cast("long"), "body"))).alias("notes"))
-    joined = _columns(parts).join(held, "doc_id", "left")
     W = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
 
-    def known(group: pd.DataFrame) -> dict[int, str]:
-        m = group.notes.iloc[0]
-        return {int(k): v for k, v in (m.items() if isinstance(m, dict) else m or ())}
-
-    def change(p: Package, group: pd.DataFrame) -> None:
-        own, doc = known(group), p.get(packages.DOCUMENT)
+    def change(p: Package, row: dict) -> None:
+        own, doc = dict(row["notes"] or ()), p.get(packages.DOCUMENT)
         if doc is None or (p.get(packages.FOOTNOTES) is not None and not overwrite):
             return
         xml, used, _ = X.inject_references(doc, set(own))
@@ -218,13 +251,20 @@ def inject_footnotes(parts: DataFrame, notes: DataFrame, overwrite: bool = False
         p.set(packages.FOOTNOTES, "".join([*made, "</w:footnotes>"]))
         p.declare("footnotes")
 
-    def tell(group: pd.DataFrame) -> pd.DataFrame:
-        own, p = known(group), Package([(int(o), n, bytes(d)) for o, n, d in zip(group.part_ord, group.part_name, group.data)])
-        _, used, cited = X.inject_references(p.get(packages.DOCUMENT) or "", set(own))
-        return pd.DataFrame({"doc_id": [group.doc_id.iloc[0]], "n_inserted": [len(used)], "unused_ids": [sorted(set(own) - set(used))], "cited_unknown_ids": [sorted(set(cited) - set(own))]})
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for row in batch.to_pylist():
+                own = set(dict(row["notes"] or ()))
+                _, used, cited = X.inject_references(_text(row["data"]), own)
+                found.append((row["doc_id"], len(used), sorted(own - set(used)), sorted(set(cited) - own)))
+            if found:
+                d, n, unused, unknown = zip(*found)
+                yield pa.RecordBatch.from_arrays([pa.array(d, pa.string()), pa.array(n, pa.int32()), pa.array(unused, pa.list_(pa.int64())), pa.array(unknown, pa.list_(pa.int64()))], names=["doc_id", "n_inserted", "unused_ids", "cited_unknown_ids"])
 
-    report = joined.groupBy("doc_id").applyInPandas(tell, "doc_id string, n_inserted int, unused_ids array<long>, cited_unknown_ids array<long>")
-    return _grouped(joined, change), report
+    texts = _columns(parts).where(F.col("part_name") == packages.DOCUMENT).select("doc_id", "data").join(held, "doc_id", "left")
+    report = texts.mapInArrow(tell, "doc_id string, n_inserted int, unused_ids array<long>, cited_unknown_ids array<long>")
+    return _grouped(parts, change, held), report
 
 
 def heading_paragraphs(parts: DataFrame) -> DataFrame:
@@ -234,7 +274,7 @@ def heading_paragraphs(parts: DataFrame) -> DataFrame:
     schema = "p_idx int, r_idx int, text string, bold boolean, size double, ppr_bold boolean, ppr_size double, style_id string"
     runs = extract(parts, packages.DOCUMENT, schema, X.formatted_runs)
     names = style_ops.style_index(styles(parts)).groupBy("doc_id", "style_id").agg(F.min("name").alias("name"))
-    runs = runs.join(names, ["doc_id", "style_id"], "left").withColumn("style_class", classify_style(F.coalesce("name", "style_id"))["class"])
+    runs = runs.join(names, ["doc_id", "style_id"], "left").withColumn("style_class", classify_style("coalesce(name, style_id)")["class"])
     return headings.paragraphs(runs)
 
 
@@ -254,16 +294,14 @@ def apply_headings(parts: DataFrame, inferred: DataFrame, blueprint_parts: DataF
     ids = near.join(index.select("doc_id", "name", "style_id"), ["doc_id", "name"]).select("level", "style_id")
     per_doc = inferred.join(F.broadcast(ids), "level").groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("p_idx", "style_id"))).alias("ids"))  # nine rows
 
-    def change(p: Package, group: pd.DataFrame) -> None:
-        m = group.ids.iloc[0]
-        own = {int(k): v for k, v in (m.items() if isinstance(m, dict) else m or ())}
-        doc = p.get(packages.DOCUMENT)
+    def change(p: Package, row: dict) -> None:
+        own, doc = dict(row["ids"] or ()), p.get(packages.DOCUMENT)
         if own and doc is not None:
             xml, n = X.restyle_paragraphs(doc, own, insert_missing)
             if n:
                 p.set(packages.DOCUMENT, xml)
 
-    return _grouped(_columns(parts).join(per_doc, "doc_id", "left"), change)
+    return _grouped(parts, change, per_doc)
 
 
 def style_mapping(source: DataFrame, target: DataFrame, pairs: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
@@ -279,7 +317,7 @@ def style_mapping(source: DataFrame, target: DataFrame, pairs: DataFrame, overri
     src_index = style_ops.style_index(styles(source))
     used = body_styles(source).withColumn("p_idx", F.lit(0))
     names = used.join(src_index.groupBy("doc_id", "style_id").agg(F.min("name").alias("name")), ["doc_id", "style_id"], "left").withColumn("name", F.coalesce("name", "style_id"))
-    c = classify_style(F.col("name"))
+    c = classify_style("name")
     wanted = names.select("doc_id", "name", c["class"].alias("class"), c["heading_level"].alias("heading_level")).distinct()
     mapped = style_ops.resolve(wanted, bp_index, bp_used, overrides)
     return style_ops.remap(used, src_index, mapped, bp_index).select("doc_id", "style_id", "new_id")
@@ -289,14 +327,14 @@ def apply_mapping(parts: DataFrame, mapping: DataFrame) -> DataFrame:
     """mapping: doc_id, style_id, new_id. New paragraph styles; nothing else changes."""
     held = mapping.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("style_id", "new_id"))).alias("map"))
 
-    def change(p: Package, group: pd.DataFrame) -> None:
-        m, doc = group["map"].iloc[0], p.get(packages.DOCUMENT)
-        if doc is not None and m is not None:
-            xml, n = X.remap_styles(doc, dict(m.items() if isinstance(m, dict) else m))
+    def change(p: Package, row: dict) -> None:
+        doc = p.get(packages.DOCUMENT)
+        if doc is not None and row["map"]:
+            xml, n = X.remap_styles(doc, dict(row["map"]))
             if n:
                 p.set(packages.DOCUMENT, xml)
 
-    return _grouped(_columns(parts).join(held, "doc_id", "left"), change)
+    return _grouped(parts, change, held)
 
 
 def transplant(blueprints: DataFrame, sources: DataFrame, pairs: DataFrame, clean_notes: bool = False) -> DataFrame:
@@ -307,30 +345,28 @@ def transplant(blueprints: DataFrame, sources: DataFrame, pairs: DataFrame, clea
     they are (cleaned too if ``clean_notes``), in the blueprint's footnote format; styles are mapped.
     """
     ids = pairs.select(F.col("blueprint_id").cast("string").alias("blueprint_id"), F.col("source_id").cast("string").alias("source_id"))
-    bp = _columns(blueprints).withColumnRenamed("doc_id", "blueprint_id").join(ids, "blueprint_id").select(F.col("source_id").alias("doc_id"), "part_ord", "part_name", "data", F.lit(0).alias("side"))
-    src = _columns(sources).join(ids.select(F.col("source_id").alias("doc_id")).distinct(), "doc_id", "left_semi").where(F.col("part_name").isin(*SCANNED)).withColumn("side", F.lit(1))
+    target = packed(blueprints).withColumnRenamed("doc_id", "blueprint_id").join(ids, "blueprint_id").select(F.col("source_id").alias("doc_id"), "parts")
+    body = packed(sources.where(F.col("part_name").isin(*SCANNED)), "source")
     mapping = style_mapping(sources, blueprints, pairs).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("style_id", "new_id"))).alias("map"))
-    joined = bp.unionByName(src).join(mapping, "doc_id", "left")
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        rows = {s: [(int(o), n, bytes(d)) for o, n, d in zip(g.part_ord, g.part_name, g.data)] for s, g in group.groupby("side")}
-        p, other = Package(rows.get(0, [])), Package(rows.get(1, []))
-        frame, body = p.get(packages.DOCUMENT), other.get(packages.DOCUMENT)
-        if frame is not None and body is not None:
-            marker, separator = X.footnote_format(p.get(packages.FOOTNOTES) or "")
-            head, _, section, tail = X.body_slice(frame)
-            xml = X.clean_runs(X.strip_tracking(head + X.body_slice(body)[1] + section + tail)[0])[0]
-            for kind in ("footnotes", "endnotes"):
-                notes = other.get(f"word/{kind}.xml")
-                if notes is not None:
-                    notes = X.clean_runs(X.strip_tracking(notes)[0])[0] if clean_notes else notes
-                    p.set(f"word/{kind}.xml", X.apply_footnote_format(notes, marker, separator)[0])
-                    p.declare(kind)
-            m = group["map"].iloc[0]
-            p.set(packages.DOCUMENT, X.remap_styles(xml, dict(m.items() if isinstance(m, dict) else m or ()))[0])
-        return pd.DataFrame({"doc_id": group.doc_id.iloc[0], "part_ord": range(len(p.rows)), "part_name": [n for n, _ in p.rows], "data": [d for _, d in p.rows]})
-
-    return joined.groupBy("doc_id").applyInPandas(run, PARTS)
+
+    def make(row: dict) -> Package:
+        p, other = _package(row["parts"]), _package(row["source"])
+        frame, doc = p.get(packages.DOCUMENT), other.get(packages.DOCUMENT)
+        if frame is None or doc is None:
+            return p
+        marker, separator = X.footnote_format(p.get(packages.FOOTNOTES) or "")
+        head, _, section, tail = X.body_slice(frame)
+        xml = X.clean_runs(X.strip_tracking(head + X.body_slice(doc)[1] + section + tail)[0])[0]
+        for kind in ("footnotes", "endnotes"):
+            notes = other.get(f"word/{kind}.xml")
+            if notes is not None:
+                notes = X.clean_runs(X.strip_tracking(notes)[0])[0] if clean_notes else notes
+                p.set(f"word/{kind}.xml", X.apply_footnote_format(notes, marker, separator)[0])
+                p.declare(kind)
+        p.set(packages.DOCUMENT, X.remap_styles(xml, dict(row["map"] or ()))[0])
+        return p
+
+    return unpacked(target.join(body, "doc_id", "left").join(mapping, "doc_id", "left"), make)
 
 
 def apply_footnote_format(parts: DataFrame, marker: str | None, separator: str | None) -> DataFrame:
@@ -341,13 +377,12 @@ def replace_texts(parts: DataFrame, texts: DataFrame) -> DataFrame:
     """texts: doc_id, p_idx, text (null keeps the paragraph). By position; numbers beyond the paragraphs are passed over."""
     held = texts.groupBy(F.col("doc_id").cast("string").alias("doc_id")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("p_idx").cast("int"), "text"))).alias("texts"))
 
-    def change(p: Package, group: pd.DataFrame) -> None:
-        m, doc = group.texts.iloc[0], p.get(packages.DOCUMENT)
-        own = {int(k): v for k, v in (m.items() if isinstance(m, dict) else m or ())}
+    def change(p: Package, row: dict) -> None:
+        own, doc = dict(row["texts"] or ()), p.get(packages.DOCUMENT)
         if own and doc is not None:
             p.set(packages.DOCUMENT, X.replace_texts(doc, [own.get(i) for i in range(max(own) + 1)]))
 
-    return _grouped(_columns(parts).join(held, "doc_id", "left"), change)
+    return _grouped(parts, change, held)
 
 
 def replace_runs(parts: DataFrame, runs: DataFrame) -> DataFrame:
@@ -355,8 +390,8 @@ def replace_runs(parts: DataFrame, runs: DataFrame) -> DataFrame:
     one = F.struct(F.col("p_idx").cast("int").alias("p"), F.col("r_idx").cast("int").alias("r"), "text", "rpr_xml")
     held = runs.groupBy(F.col("doc_id").cast("string").alias("doc_id")).agg(F.array_sort(F.collect_list(one)).alias("runs"))
 
-    def change(p: Package, group: pd.DataFrame) -> None:
-        rows, doc = group.runs.iloc[0], p.get(packages.DOCUMENT)
+    def change(p: Package, row: dict) -> None:
+        rows, doc = row["runs"], p.get(packages.DOCUMENT)
         if rows is None or doc is None:
             return
         new: dict[int, list[X.Run]] = {}
@@ -369,7 +404,7 @@ def replace_runs(parts: DataFrame, runs: DataFrame) -> DataFrame:
             out.append(X.Paragraph(old.ppr, new[i], old.starts, old.ends) if i in new else None)
         p.set(packages.DOCUMENT, X.replace_paragraphs(doc, out))
 
-    return _grouped(_columns(parts).join(held, "doc_id", "left"), change)
+    return _grouped(parts, change, held)
 
 
 def translate_packages(parts: DataFrame, providers: list, source: str, target: str, concurrency: int | None = 4) -> tuple[DataFrame, DataFrame]:
@@ -381,7 +416,7 @@ def translate_packages(parts: DataFrame, providers: list, source: str, target: s
 
 
 def check_package(parts: DataFrame) -> DataFrame:
-    """All seven checks: doc_id, check_no, severity, seq, message."""
+    """All seven checks: doc_id, check_no, severity, seq, message. What they parse is cached; ``spark.catalog.clearCache()`` frees it."""
     p = _columns(parts)
     w = ("w:rsidR", "w:rsidRPr", "w:rsidDel", "w:rsidRDefault", "w:rsidRPrChange")
 
@@ -403,30 +438,34 @@ def check_package(parts: DataFrame) -> DataFrame:
         ts = X.tokens(xml)
         return [(v,) for a, b in X.outermost(ts, "w:rsids") for t in ts[a + 1 : b] if t.kind in ("start", "empty") and (v := X.attribute(t, "w:val"))]
 
-    doc = extract(p, packages.DOCUMENT, "what string, value string, n int", values)
-    of = lambda what: doc.where(F.col("what") == what)
-    settings = extract(p, packages.SETTINGS, "value string", declared)
-
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for d, name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                rows.append((d, name, "error", X.parse_error(data or b""), None, None))
-                for t in X.tokens(_text(data)):
+                rows.append((d, name, "error", X.parse_error(data or b""), None, None, None))
+                xml = _text(data)
+                if name == packages.DOCUMENT:
+                    rows += [(d, name, what, v, None, None, n) for what, v, n in values(xml)]
+                if name == packages.SETTINGS:
+                    rows += [(d, name, "declared", v, None, None, None) for (v,) in declared(xml)]
+                for t in X.tokens(xml):
                     if t.kind in ("start", "empty"):
                         if name.endswith(".rels") and t.name == "Relationship":
-                            rows.append((d, name, "rel", X.attribute(t, "Target"), X.attribute(t, "TargetMode"), X.attribute(t, "Id")))
+                            rows.append((d, name, "rel", X.attribute(t, "Target"), X.attribute(t, "TargetMode"), X.attribute(t, "Id"), None))
                         elif "w14:paraId" in t.source and (v := X.attribute(t, "w14:paraId")):
-                            rows.append((d, name, "para", v, None, None))
+                            rows.append((d, name, "para", v, None, None, None))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], names=["doc_id", "part_name", "what", "value", "mode", "id"])
+                *texts, n = zip(*rows)
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in texts), pa.array(n, pa.int32())], names=["doc_id", "part_name", "what", "value", "mode", "id", "n"])
 
-    found = packages.xml_parts(p).select("doc_id", "part_name", "data").mapInArrow(each, "doc_id string, part_name string, what string, value string, mode string, id string")
-    rel = found.where("what = 'rel'")
+    # parsed once: kept (memory, then disk) for the seven checks, and parsed again where an executor is lost
+    found = packages.xml_parts(p).select("doc_id", "part_name", "data").mapInArrow(each, "doc_id string, part_name string, what string, value string, mode string, id string, n int").persist()
+    of = lambda what: found.where(F.col("what") == what)
+    rel, settings = of("rel"), of("declared")
     frames = [
-        checks.check_xml(found.where("what = 'error'").select("doc_id", "part_name", F.col("value").alias("error"))),
+        checks.check_xml(of("error").select("doc_id", "part_name", F.col("value").alias("error"))),
         checks.check_rsids(of("rsid"), settings),
-        checks.check_para_ids(found.where("what = 'para'").select("doc_id", F.col("value").alias("id"), F.col("part_name").alias("part"))),
+        checks.check_para_ids(of("para").select("doc_id", F.col("value").alias("id"), F.col("part_name").alias("part"))),
         checks.check_rel_targets(rel.select("doc_id", F.col("part_name").alias("rels_part"), F.col("value").alias("target"), F.col("mode").alias("target_mode")), p),
         checks.check_body_structure(of("child").select("doc_id", F.col("n").alias("ord"), F.col("value").alias("tag"))),
         checks.check_bookmark_ids(of("bookmark").select("doc_id", F.col("value").alias("id"), F.lit(packages.DOCUMENT).alias("part"))),

@@ -335,7 +335,7 @@ def _style_names(spark, d) -> DataFrame:
 
 @query(f"WITH {_ALL_NAMES} SELECT name, {_CLASS} AS class, ({_LEVEL})::INTEGER AS heading_level FROM names")
 def classify_style(spark, d):
-    c = style_names.classify_style(F.col("name"))
+    c = style_names.classify_style("name")
     return _style_names(spark, d).select("name", c["class"].alias("class"), c["heading_level"].alias("heading_level"))
 
 
@@ -365,7 +365,7 @@ _NEAREST = """near AS (SELECT w.doc_id, w.name, w.heading_level, s.name AS slot,
 
 def _wanted(index: DataFrame) -> DataFrame:
     w = index.select("doc_id").distinct().select("doc_id", F.explode(F.array(*map(F.lit, _WANTED_NAMES))).alias("name"))
-    c = style_names.classify_style(F.col("name"))
+    c = style_names.classify_style("name")
     return w.select("doc_id", "name", c["class"].alias("class"), c["heading_level"].alias("heading_level"))
 
 
