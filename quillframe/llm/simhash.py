@@ -155,7 +155,7 @@ def near_edges(distinct: DataFrame, distance: int = DISTANCE, recall: float = RE
             yield edges(*map(np.concatenate, zip(*held)))
 
     rows = distinct.select("rep", "high", "low").mapInArrow(probe, "key long, rep long, high long, low long")
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(match, "u long, v long")
+    return rows.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(match, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
