@@ -420,37 +420,36 @@ def check_package(parts: DataFrame) -> DataFrame:
     p = _columns(parts)
     w = ("w:rsidR", "w:rsidRPr", "w:rsidDel", "w:rsidRDefault", "w:rsidRPrChange")
 
-    def values(xml: str) -> list[tuple]:
+    def values(ts: list[X.Token]) -> list[tuple]:
         out = []
-        ts = X.tokens(xml)
         for t in ts:
             if t.kind in ("start", "empty"):
-                if t.name == "w:p":
+                if t.name == "w:p" and "w:rsid" in t.source:
                     out += [("rsid", v, None) for k, v in X.attributes(t) if k in w and v]
                 if t.name == "w:bookmarkStart":
                     out += [("bookmark", v, None) for k, v in X.attributes(t) if k == "w:id"]
-                out += [("rid", v, None) for k, v in X.attributes(t) if v.startswith("rId") and v[3:].isdigit()]
+                if "rId" in t.source:
+                    out += [("rid", v, None) for _, v in X.attributes(t) if v.startswith("rId") and v[3:].isdigit()]
         for a, b in X.outermost(ts, "w:body")[:1]:
             out += [("child", ts[x].name, n) for n, (x, _) in enumerate(X._children(ts, a, b))]
         return out
 
-    def declared(xml: str) -> list[tuple]:
-        ts = X.tokens(xml)
-        return [(v,) for a, b in X.outermost(ts, "w:rsids") for t in ts[a + 1 : b] if t.kind in ("start", "empty") and (v := X.attribute(t, "w:val"))]
+    def declared(ts: list[X.Token]) -> list[str]:
+        return [v for a, b in X.outermost(ts, "w:rsids") for t in ts[a + 1 : b] if t.kind in ("start", "empty") and (v := X.attribute(t, "w:val"))]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for d, name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 rows.append((d, name, "error", X.parse_error(data or b""), None, None, None))
-                xml = _text(data)
+                ts = X.tokens(_text(data))
                 if name == packages.DOCUMENT:
-                    rows += [(d, name, what, v, None, None, n) for what, v, n in values(xml)]
+                    rows += [(d, name, what, v, None, None, n) for what, v, n in values(ts)]
                 if name == packages.SETTINGS:
-                    rows += [(d, name, "declared", v, None, None, None) for (v,) in declared(xml)]
-                for t in X.tokens(xml):
+                    rows += [(d, name, "declared", v, None, None, None) for v in declared(ts)]
+                for t in ts:
                     if t.kind in ("start", "empty"):
-                        if name.endswith(".rels") and t.name == "Relationship":
+                        if t.name == "Relationship" and name.endswith(".rels"):
                             rows.append((d, name, "rel", X.attribute(t, "Target"), X.attribute(t, "TargetMode"), X.attribute(t, "Id"), None))
                         elif "w14:paraId" in t.source and (v := X.attribute(t, "w14:paraId")):
                             rows.append((d, name, "para", v, None, None, None))

@@ -2,13 +2,14 @@
 
 import decimal
 import math
+import os
 
 import duckdb
 import pytest
 
 from quillframe.plans.queries import ORACLE, QUERIES
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("QUERY_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
