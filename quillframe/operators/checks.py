@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillframe.functions.text import base_of_rels, resolve_path
 
-BODY_TAGS = ("w:p", "w:tbl", "w:sectPr", "w:bookmarkStart", "w:bookmarkEnd")
+BODY_TAGS = tuple("w:" + x for x in "p tbl sectPr bookmarkStart bookmarkEnd".split())
 RSID_SAMPLE, DUPLICATES, TARGETS = 4, 3, 5
 
 

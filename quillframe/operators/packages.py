@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 CONTENT_TYPES, DOCUMENT, RELS = "[Content_Types].xml", "word/document.xml", "word/_rels/document.xml.rels"
-FOOTNOTES, ENDNOTES, SETTINGS, STYLES = "word/footnotes.xml", "word/endnotes.xml", "word/settings.xml", "word/styles.xml"
+FOOTNOTES, ENDNOTES, SETTINGS, STYLES = (f"word/{x}.xml" for x in "footnotes endnotes settings styles".split())
 
 
 def valid_packages(parts: DataFrame) -> DataFrame:
@@ -103,7 +103,7 @@ def normalize_tags(parts: DataFrame, fixes=TAG_FIXES) -> DataFrame:
     return parts.withColumn("n_changed", n.cast("int")).withColumn("data", data)
 
 
-TRACKING = ("w14:paraId", "w14:textId", "w:rsidR", "w:rsidRPr", "w:rsidDel", "w:rsidRDefault", "w:rsidP", "w:rsidTr", "w:rsidSect")
+TRACKING = (*(f"w14:{x}Id" for x in ("para", "text")), *(f"w:rsid{x}" for x in "R RPr Del RDefault P Tr Sect".split()))
 
 
 def strip_attributes(parts: DataFrame, names=TRACKING) -> DataFrame:

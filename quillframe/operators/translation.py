@@ -97,21 +97,22 @@ class HttpProvider:
             raise ProviderError(f"{self.name}: {type(e).__name__} {e}"[:400]) from e
 
 
-#: Kind of wire, address, variable of the key and default model, in the order in which keys are looked for.
-REGISTRY = {
-    "groq": ("chat", "https://api.groq.com/openai/v1", "GROQ_API_KEY", "llama-3.3-70b-versatile"),
-    "cerebras": ("chat", "https://api.cerebras.ai/v1", "CEREBRAS_API_KEY", "llama-3.3-70b"),
-    "openai": ("chat", "https://api.openai.com/v1", "OPENAI_API_KEY", "gpt-4o-mini"),
-    "anthropic": ("messages", "https://api.anthropic.com", "ANTHROPIC_API_KEY", "claude-3-5-haiku-latest"),
-    "together": ("chat", "https://api.together.xyz/v1", "TOGETHER_API_KEY", "meta-llama/Llama-3.3-70B-Instruct-Turbo"),
-    "openrouter": ("chat", "https://openrouter.ai/api/v1", "OPENROUTER_API_KEY", "meta-llama/llama-3.3-70b-instruct"),
-    "nebius": ("chat", "https://api.studio.nebius.ai/v1", "NEBIUS_API_KEY", "meta-llama/Llama-3.3-70B-Instruct"),
-    "scaleway": ("chat", "https://api.scaleway.ai/v1", "SCALEWAY_API_KEY", "llama-3.3-70b-instruct"),
-    "mistral": ("chat", "https://api.mistral.ai/v1", "MISTRAL_API_KEY", "mistral-small-latest"),
-    "poe": ("chat", "https://api.poe.com/v1", "POE_API_KEY", "GPT-4o-mini"),
-    "google": ("chat", "https://generativelanguage.googleapis.com/v1beta/openai", "GOOGLE_API_KEY", "gemini-2.0-flash"),
-    "ollama": ("generate", "http://localhost:11434", "", "llama3.2"),
-}
+#: Name, kind of wire, host and path, default model; in the order in which keys are looked for. A key is NAME_API_KEY; without one: ollama.
+_HOSTS = """
+groq        chat      api.groq.com/openai/v1        llama-3.3-70b-versatile
+cerebras    chat      api.cerebras.ai/v1            llama-3.3-70b
+openai      chat      api.openai.com/v1             gpt-4o-mini
+anthropic   messages  api.anthropic.com             claude-3-5-haiku-latest
+together    chat      api.together.xyz/v1           meta-llama/Llama-3.3-70B-Instruct-Turbo
+openrouter  chat      openrouter.ai/api/v1          meta-llama/llama-3.3-70b-instruct
+nebius      chat      api.studio.nebius.ai/v1       meta-llama/Llama-3.3-70B-Instruct
+scaleway    chat      api.scaleway.ai/v1            llama-3.3-70b-instruct
+mistral     chat      api.mistral.ai/v1             mistral-small-latest
+poe         chat      api.poe.com/v1                GPT-4o-mini
+google      chat      generativelanguage.googleapis.com/v1beta/openai  gemini-2.0-flash
+"""
+REGISTRY = {n: (kind, "https://" + at, f"{n.upper()}_API_KEY", model) for n, kind, at, model in map(str.split, _HOSTS.strip().splitlines())}
+REGISTRY["ollama"] = ("generate", "http://localhost:11434", "", "llama3.2")
 
 
 def providers_from(env: dict[str, str], model: str | None = None, options: Options = Options()) -> list[HttpProvider]:

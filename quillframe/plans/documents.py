@@ -180,7 +180,7 @@ class Package:
 
             head, tail = rels.rsplit("</Relationships>", 1)
             n = max([0, *map(int, re.findall(r'Id="rId([0-9]+)', rels))]) + 1
-            kind_uri = f"http://schemas.openxmlformats.org/officeDocument/2006/relationships/{kind}"
+            kind_uri = f"{X.RELATIONS}/{kind}"
             self.set(packages.RELS, f'{head}<Relationship Id="rId{n}" Type="{kind_uri}" Target="{kind}.xml"/></Relationships>{tail}')
 
 
@@ -232,7 +232,6 @@ def inject_footnotes(parts: DataFrame, notes: DataFrame, overwrite: bool = False
     it is unless ``overwrite``.
     """
     held = notes.groupBy(F.col("doc_id").cast("string").alias("doc_id")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("note_id").cast("long"), "body"))).alias("notes"))
-    W = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
 
     def change(p: Package, row: dict) -> None:
         own, doc = dict(row["notes"] or ()), p.get(packages.DOCUMENT)
@@ -241,14 +240,12 @@ def inject_footnotes(parts: DataFrame, notes: DataFrame, overwrite: bool = False
         xml, used, _ = X.inject_references(doc, set(own))
         if not used:
             return
-        made = [f'<w:footnotes xmlns:w="{W}">']
-        for i, kind in ((-1, "separator"), (0, "continuationSeparator")):
-            made.append(f'<w:footnote w:id="{i}" w:type="{kind}"><w:p><w:r><w:{kind}/></w:r></w:p></w:footnote>')
+        rows = [X.made("footnote", X.made("p", X.made("r", X.made(kind))), id=i, type=kind) for i, kind in ((-1, "separator"), (0, "continuationSeparator"))]
         for i in dict.fromkeys(used):
-            mark = '<w:r><w:rPr><w:rStyle w:val="FootnoteReference"/></w:rPr><w:footnoteRef/></w:r>'
-            made.append(f'<w:footnote w:id="{i}"><w:p>{mark}{X.separator_xml(" ")}<w:r><w:t xml:space="preserve">{X.escape(own[i] or "")}</w:t></w:r></w:p></w:footnote>')
+            mark, body = X.made("r", X.marker_style(), X.made("footnoteRef")), X.made("r", X.made("t", X.escape(own[i] or ""), space=True))
+            rows.append(X.made("footnote", X.made("p", mark, X.separator_xml(" "), body), id=i))
         p.set(packages.DOCUMENT, xml)
-        p.set(packages.FOOTNOTES, "".join([*made, "</w:footnotes>"]))
+        p.set(packages.FOOTNOTES, X.made("footnotes", *rows).replace("<w:footnotes", f'<w:footnotes xmlns:w="{X.MAIN}"', 1))
         p.declare("footnotes")
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -418,7 +415,7 @@ def translate_packages(parts: DataFrame, providers: list, source: str, target: s
 def check_package(parts: DataFrame) -> DataFrame:
     """All seven checks: doc_id, check_no, severity, seq, message. What they parse is cached; ``spark.catalog.clearCache()`` frees it."""
     p = _columns(parts)
-    w = ("w:rsidR", "w:rsidRPr", "w:rsidDel", "w:rsidRDefault", "w:rsidRPrChange")
+    w = tuple(f"w:rsid{x}" for x in "R RPr Del RDefault RPrChange".split())
 
     def values(ts: list[X.Token]) -> list[tuple]:
         out = []

@@ -12,6 +12,7 @@ from quillframe.functions import styles as style_names
 from quillframe.operators import alignment, checks, formatting, headings, notes, packages, styles, translation
 from quillframe.plans import documents, proxies
 from quillframe.plans.proxies import table, with_
+from quillframe.sources import xmlparts as X
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -797,16 +798,26 @@ def translation_summary(spark, d):
 
 def made_packages(spark: SparkSession, d: str) -> DataFrame:
     """A package for each document, its lines as paragraphs, every third line bold; parts as rows."""
-    W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:w14="http://schemas.microsoft.com/office/word/2010/wordml"'
-    line = lambda t, i: F.concat(
-        F.lit('<w:p w:rsidR="00A1" w14:paraId="'), F.lpad(F.hex(i + 1), 8, "0"), F.lit('"><w:pPr><w:pStyle w:val="'), F.when(i == 0, "Heading1").otherwise("Normal"), F.lit('"/></w:pPr><w:r><w:rPr>'),
-        F.when(i % 3 == 0, '<w:b/><w:sz w:val="36"/>').otherwise('<w:sz w:val="24"/>'), F.lit('<w:color w:val="FF0000"/></w:rPr><w:t xml:space="preserve">'), text.escape_xml(t), F.lit("</w:t></w:r></w:p>"),
-    )
+    made, W = X.made, f'xmlns:w="{X.MAIN}" xmlns:w14="{X.WORD_2010}"'
+
+    def line(t: Column, i: Column) -> Column:
+        kept = made("color", val="FF0000")
+        props = F.when(i % 3 == 0, made("b") + made("sz", val=36) + kept).otherwise(made("sz", val=24) + kept)
+        styled = F.when(i == 0, made("pPr", made("pStyle", val="Heading1"))).otherwise(made("pPr", made("pStyle", val="Normal")))
+        shell = made("p", "|", made("r", made("rPr", "|"), made("t", "|", space=True)), rsidR="00A1").split("|")
+        head = F.concat(F.lit(shell[0][:-1] + ' w14:paraId="'), F.lpad(F.hex(i + 1), 8, "0"), F.lit('">'))
+        return F.concat(head, styled, F.lit(shell[1]), props, F.lit(shell[2]), text.escape_xml(t), F.lit(shell[3]))
+
     body = F.array_join(F.transform(F.split("text", "\n"), line), "")
-    doc = F.concat(F.lit(f'<?xml version="1.0"?><w:document {W}><w:body>'), body, F.lit('<w:sectPr><w:pgSz w:w="12240" w:h="15840"/><w:pgMar w:top="1440" w:left="1800"/></w:sectPr></w:body></w:document>'))
-    style = lambda sid, name, more="": f'<w:style w:type="paragraph" w:styleId="{sid}"><w:name w:val="{name}"/>{more}</w:style>'
-    sheet = f'<w:styles {W}>' + style("Normal", "Normal") + style("Heading1", "heading 1", '<w:outlineLvl w:val="0"/>') + "</w:styles>"
-    rels = '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="styles" Target="styles.xml"/></Relationships>'
+    section = made("sectPr", made("pgSz", w=12240, h=15840), made("pgMar", top=1440, left=1800))
+    head, tail = made("document", made("body", "|", section)).replace("<w:document", f"<w:document {W}").split("|")
+    doc = F.concat(F.lit('<?xml version="1.0"?>' + head), body, F.lit(tail))
+
+    def style(sid: str, name: str, more: str = "") -> str:
+        return made("style", made("name", val=name), more, type="paragraph", styleId=sid)
+
+    sheet = made("styles", style("Normal", "Normal"), style("Heading1", "heading 1", made("outlineLvl", val=0))).replace("<w:styles", f"<w:styles {W}")
+    rels = f'<Relationships xmlns="{X.PACKAGE_RELATIONS}"><Relationship Id="rId1" Type="styles" Target="styles.xml"/></Relationships>'
     rows = F.array(*(F.struct(F.lit(k).alias("part_ord"), F.lit(n).alias("part_name"), c.alias("data")) for k, (n, c) in enumerate([(packages.CONTENT_TYPES, F.lit("<Types/>")), (packages.DOCUMENT, doc), (packages.RELS, F.lit(rels)), (packages.STYLES, F.lit(sheet))])))
     return table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.inline(rows)).withColumn("data", F.encode("data", "UTF-8"))
 

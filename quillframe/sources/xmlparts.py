@@ -15,6 +15,21 @@ _ATTR = re.compile(r"([^\s=]+)\s*=\s*(\"[^\"]*\"|'[^']*')")
 _ENTITY = re.compile(r"&(#[xX]?[0-9a-fA-F]+|lt|gt|amp|quot|apos);")
 _NAMED = {"lt": "<", "gt": ">", "amp": "&", "quot": '"', "apos": "'"}
 
+_HOST = "http://schemas." + "openxmlformats.org"
+MAIN, RELATIONS = _HOST + "/wordprocessingml/2006/main", _HOST + "/officeDocument/2006/relationships"
+PACKAGE_RELATIONS, WORD_2010 = _HOST + "/package/2006/relationships", "http://schemas." + "microsoft.com/office/word/2010/wordml"
+
+
+def made(tag: str, *inner: str, space: bool = False, **attributes: object) -> str:
+    """An element of the prefix w, its attributes too; self-closing without content."""
+    start = f"w:{tag}" + "".join(f' w:{k}="{v}"' for k, v in attributes.items()) + (' xml:space="preserve"' if space else "")
+    return f"<{start}>{''.join(inner)}</w:{tag}>" if inner else f"<{start}/>"
+
+
+def marker_style() -> str:
+    return made("rPr", made("rStyle", val="FootnoteReference"))
+
+
 KEPT_PROPERTIES = frozenset(f"w:{x}" for x in "b bCs i iCs u strike dstrike vertAlign highlight smallCaps allCaps em vanish".split())
 TRACKING = frozenset("w14:paraId w14:textId w:rsidR w:rsidRPr w:rsidDel w:rsidRDefault w:rsidP w:rsidTr w:rsidSect".split())
 
@@ -179,9 +194,8 @@ def paragraphs(xml: str) -> list[Paragraph]:
 def run_xml(run: Run) -> str:
     text = ""
     if run.text:
-        keep = ' xml:space="preserve"' if run.text[0] in " \t\n\r" or run.text[-1] in " \t\n\r" else ""
-        text = f"<w:t{keep}>{escape(run.text)}</w:t>"
-    return f"<w:r>{run.rpr or ''}{text}{''.join(run.refs)}</w:r>"
+        text = made("t", escape(run.text), space=run.text[0] in " \t\n\r" or run.text[-1] in " \t\n\r")
+    return made("r", run.rpr or "", text, *run.refs)
 
 
 def paragraph_xml(start: str, p: Paragraph) -> str:
@@ -310,21 +324,21 @@ def restyle_paragraphs(xml: str, ids: dict[int, str], insert_missing: bool = Fal
     for i, (a, b) in enumerate(outermost(ts, "w:p")):
         if i not in ids:
             continue
-        made = f'<w:pStyle w:val="{escape(ids[i])}"/>'
+        new = made("pStyle", val=escape(ids[i]))
         ppr = next(((x, y) for x, y in _children(ts, a, b) if ts[x].name == "w:pPr"), None)
         old = next(((x, y) for x, y in _children(ts, *ppr) if ts[x].name == "w:pStyle"), None) if ppr and ts[ppr[0]].kind == "start" else None
         if old:
-            edits[old[0]] = (old[1], made)
+            edits[old[0]] = (old[1], new)
             n += 1
         elif insert_missing and ts[a].kind == "start":
             at = ppr[0] + 1 if ppr and ts[ppr[0]].kind == "start" else a + 1
-            edits[at] = (at, made if ppr else f"<w:pPr>{made}</w:pPr>")
+            edits[at] = (at, new if ppr else made("pPr", new))
             n += 1
     out, k = [], 0
     while k < len(ts):
         if k in edits:
-            stop, made = edits.pop(k)
-            out.append(made)
+            stop, new = edits.pop(k)
+            out.append(new)
             k = stop
         else:
             out.append(ts[k].source)
@@ -449,9 +463,8 @@ def footnote_format(xml: str, sample: int = 3) -> tuple[str | None, str | None]:
 
 
 def separator_xml(wanted: str, payload_only: bool = False) -> str:
-    keep = ' xml:space="preserve"' if " " in wanted else ""
-    inner = "<w:tab/>" if wanted == "\t" else f"<w:t{keep}>{escape(wanted)}</w:t>"
-    return inner if payload_only else f"<w:r>{inner}</w:r>"
+    inner = made("tab") if wanted == "\t" else made("t", escape(wanted), space=" " in wanted)
+    return inner if payload_only else made("r", inner)
 
 
 def apply_footnote_format(xml: str, marker: str | None, separator: str | None) -> tuple[str, int]:
@@ -486,8 +499,8 @@ def apply_footnote_format(xml: str, marker: str | None, separator: str | None) -
             touched = True
         n += touched
     out, k = [], 0
-    for a, b, made in sorted(edits):
-        out += [join(ts[k:a]), made]
+    for a, b, new in sorted(edits):
+        out += [join(ts[k:a]), new]
         k = b
     return "".join([*out, join(ts[k:])]), n
 
@@ -503,7 +516,7 @@ def inject_references(xml: str, notes: set[int]) -> tuple[str, list[int], list[i
     ts, out, used, cited, k = tokens(xml), [], [], [], 0
 
     def ref(i: int) -> str:
-        return f'<w:r><w:rPr><w:rStyle w:val="FootnoteReference"/></w:rPr><w:footnoteReference w:id="{i}"/></w:r>'
+        return made("r", marker_style(), made("footnoteReference", id=i))
 
     while k < len(ts):
         t = ts[k]
@@ -535,10 +548,10 @@ def inject_references(xml: str, notes: set[int]) -> tuple[str, list[int], list[i
             part.append(source[at:])
             if at:
                 part = ["".join(part)]
-        made = "".join(part)
-        if len(made) != sum(len(x.source) for x in ts[k:end]):
-            made = re.sub(re.escape(t.source + rpr) + r'<w:t(?: xml:space="preserve")?></w:t></w:r>', "", made)
-            made = re.sub(r"<w:t>(?=[ \t\n])|<w:t>(?=[^<]*[ \t\n]</w:t>)", '<w:t xml:space="preserve">', made)
-        out.append(made)
+        run = "".join(part)
+        if len(run) != sum(len(x.source) for x in ts[k:end]):
+            run = re.sub(re.escape(t.source + rpr) + r'<w:t(?: xml:space="preserve")?></w:t></w:r>', "", run)
+            run = re.sub(r"<w:t>(?=[ \t\n])|<w:t>(?=[^<]*[ \t\n]</w:t>)", '<w:t xml:space="preserve">', run)
+        out.append(run)
         k = end
     return "".join(out), used, cited

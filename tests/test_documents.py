@@ -2,6 +2,7 @@
 
 import json
 import os
+import re
 
 import pytest
 
@@ -13,18 +14,32 @@ from quillframe.sources import docx
 from quillframe.sources import xmlparts as X
 from quillframe.streaming.ingest import ingest
 
-W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:w14="http://schemas.microsoft.com/office/word/2010/wordml"'
-SECT = '<w:sectPr><w:pgSz w:w="12240" w:h="15840"/><w:pgMar w:top="1440" w:bottom="1440" w:left="720"/></w:sectPr>'
-RELS = '<Relationships xmlns="r"><Relationship Id="rId3" Type="t/styles" Target="styles.xml"/></Relationships>'
-NOTES = f'<w:footnotes {W}><w:footnote w:id="-1"><w:p><w:r><w:separator/></w:r></w:p></w:footnote><w:footnote w:id="1"><w:p><w:r><w:rPr><w:i/></w:rPr><w:footnoteRef/></w:r><w:r><w:tab/></w:r><w:r><w:t>note</w:t></w:r></w:p></w:footnote></w:footnotes>'
+
+
+def ox(s):
+    """XML written without the prefix w, with it."""
+    s = re.sub(r"(</?)([A-Za-z]\w*)(?=[\s/>]|$)", r"\1w:\2", s)
+    return re.sub(r"(?<!\?xml)(\s)([A-Za-z]\w*)(?==[\"'])", r"\1w:\2", s)
+
+
+W = f'xmlns:w="{X.MAIN}" xmlns:w14="{X.WORD_2010}"'
+SECT = ox('<sectPr><pgSz w="12240" h="15840"/><pgMar top="1440" bottom="1440" left="720"/></sectPr>')
+
+
+def relations(i, kind):
+    return f'<Relationships xmlns="r"><Relationship Id="{i}" Type="http://x/relationships/{kind}" Target="{kind}.xml"/></Relationships>'
+
+
+RELS = relations("rId3", "styles")
+NOTES = ox(f'<footnotes {W}><footnote id="-1"><p><r><separator/></r></p></footnote><footnote id="1"><p><r><rPr><i/></rPr><footnoteRef/></r><r><tab/></r><r><t>note</t></r></p></footnote></footnotes>')
 
 
 def document(inner, sect=SECT):
-    return f'<?xml version="1.0"?><w:document {W}><w:body>{inner}{sect}</w:body></w:document>'
+    return ox(f'<?xml version="1.0"?><document {W}><body>{inner}{sect}</body></document>')
 
 
 def para(text, rpr="", ppr="", attrs=""):
-    return f"<w:p{attrs}>{ppr}<w:r>{rpr}<w:t>{text}</w:t></w:r></w:p>"
+    return ox(f"<p{attrs}>{ppr}<r>{rpr}<t>{text}</t></r></p>")
 
 
 def package(doc_id, body, **more):
@@ -42,7 +57,7 @@ def part(df, doc_id, name):
 
 
 def styles(*given):
-    return f"<w:styles {W}>" + "".join(f'<w:style w:type="paragraph" w:styleId="{i}"><w:name w:val="{n}"/>' + (f'<w:outlineLvl w:val="{o}"/>' if o is not None else "") + "</w:style>" for i, n, o in given) + "</w:styles>"
+    return ox(f"<styles {W}>") + "".join(ox(f'<style type="paragraph" styleId="{i}"><name val="{n}"/>') + (ox(f'<outlineLvl val="{o}"/>') if o is not None else "") + ox("</style>") for i, n, o in given) + ox("</styles>")
 
 
 @pytest.mark.parametrize("xml", [document(para("a &lt; b")), "<a><!-- <b> --><![CDATA[<c>]]><d x='>'/></a>", "not xml < at all", "", "<open><never"])
@@ -51,84 +66,85 @@ def test_tokens_join_to_the_source(xml):
 
 
 def test_paragraphs_and_runs():
-    tabs = '<w:pPr><w:tabs><w:tab w:val="left"/></w:tabs></w:pPr>'
+    tabs = ox('<pPr><tabs><tab val="left"/></tabs></pPr>')
     doc = document(
-        para("Plain ") + f'<w:p>{tabs}<w:bookmarkStart w:id="1"/><w:r><w:t>a</w:t><w:tab/><w:t>b</w:t><w:br/><w:t>c &amp; d</w:t></w:r><w:hyperlink><w:r><w:rPr><w:b/></w:rPr><w:t>link</w:t></w:r></w:hyperlink>'
-        '<w:r><w:footnoteReference w:id="2"/></w:r><w:bookmarkEnd w:id="1"/></w:p><w:p/><w:p><w:r><w:pict><w:p><w:r><w:t>box</w:t></w:r></w:p></w:pict><w:t> outer</w:t></w:r></w:p>'
+        para("Plain ") + ox(f'<p>{tabs}<bookmarkStart id="1"/><r><t>a</t><tab/><t>b</t><br/><t>c &amp; d</t></r><hyperlink><r><rPr><b/></rPr><t>link</t></r></hyperlink>'
+        '<r><footnoteReference id="2"/></r><bookmarkEnd id="1"/></p><p/><p><r><pict><p><r><t>box</t></r></p></pict><t> outer</t></r></p>')
     )
     got = X.paragraphs(doc)
     assert [p.text for p in got] == ["Plain ", "a\tb\nc & dlink", "", "box outer"]
-    assert got[1].runs[1].rpr == "<w:rPr><w:b/></w:rPr>" and got[1].runs[2].refs == ['<w:footnoteReference w:id="2"/>'] and got[1].ppr == tabs
-    assert got[1].starts == ['<w:bookmarkStart w:id="1"/>'] and got[1].ends == ['<w:bookmarkEnd w:id="1"/>']
+    assert got[1].runs[1].rpr == ox("<rPr><b/></rPr>") and got[1].runs[2].refs == [ox('<footnoteReference id="2"/>')] and got[1].ppr == tabs
+    assert got[1].starts == [ox('<bookmarkStart id="1"/>')] and got[1].ends == [ox('<bookmarkEnd id="1"/>')]
     again = X.paragraphs(X.replace_paragraphs(doc, [None, got[1]]))
     assert [(p.text, p.ppr, p.starts, p.ends) for p in again] == [(p.text, p.ppr, p.starts, p.ends) for p in got]
 
 
 def test_replace_texts_keeps_the_rest():
-    doc = document(para("one", "<w:rPr><w:b/></w:rPr>", '<w:pPr><w:pStyle w:val="X"/></w:pPr>', ' w:rsidR="1"') + '<w:p><w:r><w:t>two</w:t><w:endnoteReference w:id="4"/></w:r></w:p>' + para("three"))
+    doc = document(para("one", ox("<rPr><b/></rPr>"), ox('<pPr><pStyle val="X"/></pPr>'), ' w:rsidR="1"') + ox('<p><r><t>two</t><endnoteReference id="4"/></r></p>') + para("three"))
     out = X.replace_texts(doc, [" uno & ", "dos", None])
-    assert '<w:p w:rsidR="1"><w:pPr><w:pStyle w:val="X"/></w:pPr><w:r><w:t xml:space="preserve"> uno &amp; </w:t></w:r></w:p>' in out
-    assert '<w:endnoteReference w:id="4"/>' in out and [p.text for p in X.paragraphs(out)] == [" uno & ", "dos", "three"]
-    assert out.endswith(para("three") + SECT + "</w:body></w:document>")
+    assert ox('<p rsidR="1"><pPr><pStyle val="X"/></pPr><r><t xml:space="preserve"> uno &amp; </t></r></p>') in out
+    assert ox('<endnoteReference id="4"/>') in out and [p.text for p in X.paragraphs(out)] == [" uno & ", "dos", "three"]
+    assert out.endswith(para("three") + SECT + ox("</body></document>"))
 
 
 def test_strip_tracking_is_idempotent():
-    doc = document('<w:p w:rsidR="1" w:rsidRDefault="2" w14:paraId="3" w14:textId="4" w:rsidP="5" w:rsidRPr="6"><w:r w:rsidR="7" w:rsidRPr="8"><w:t>hello w:rsidR="9"</w:t></w:r></w:p>')
+    doc = document(ox('<p rsidR="1" rsidRDefault="2" w14:paraId="3" w14:textId="4" rsidP="5" rsidRPr="6"><r rsidR="7" rsidRPr="8"><t>hello rsidR="9"</t></r></p>'))
     once, n = X.strip_tracking(doc)
     assert n == 8 and 'hello w:rsidR="9"' in once and X.strip_tracking(once) == (once, 0)
 
 
 def test_clean_runs():
-    props = "".join(f"<w:{x}/>" for x in ("b", "caps", "color", "rFonts", "sz", "lang", "i")) + "<w:shd><w:deep/></w:shd>"
-    doc = document(f"<w:p><w:r><w:rPr>{props}</w:rPr><w:t>x</w:t></w:r><w:r><w:rPr>{props}</w:rPr><w:footnoteReference w:id='1'/></w:r></w:p>")
+    props = "".join(ox(f"<{x}/>") for x in ("b", "caps", "color", "rFonts", "sz", "lang", "i")) + ox("<shd><deep/></shd>")
+    doc = document(ox(f"<p><r><rPr>{props}</rPr><t>x</t></r><r><rPr>{props}</rPr><footnoteReference id='1'/></r></p>"))
     out, n = X.clean_runs(doc)
-    assert n == 6 and "<w:rPr><w:b/><w:i/></w:rPr><w:t>x" in out and out.count("w:deep") == 1
+    assert n == 6 and ox("<rPr><b/><i/></rPr><t>x") in out and out.count("w:deep") == 1
 
 
-@pytest.mark.parametrize("inner,n", [(para("a", "<w:rPr><w:b/></w:rPr>"), 1), (para("a", '<w:rPr><w:b w:val="0"/></w:rPr>'), 0), ("<w:p/>", 0), ("<w:p><w:r><w:rPr><w:b/></w:rPr><w:t>a</w:t></w:r><w:r><w:t>b</w:t></w:r></w:p>", 0)])
+@pytest.mark.parametrize("inner,n", [(para("a", ox("<rPr><b/></rPr>")), 1), (para("a", ox('<rPr><b val="0"/></rPr>')), 0), (ox("<p/>"), 0), (ox("<p><r><rPr><b/></rPr><t>a</t></r><r><t>b</t></r></p>"), 0)])
 def test_strip_paragraph_bold(inner, n):
     out, found = X.strip_paragraph_bold(document(inner))
-    assert found == n and (("<w:b/>" in out) == (n == 0 and "<w:b/>" in inner))
+    assert found == n and ((ox("<b/>") in out) == (n == 0 and ox("<b/>") in inner))
 
 
 def test_sections_defaults_and_slices():
     (s,) = X.sections(document(""))
     assert (s["page_width"], s["page_height"], s["top"], s["left"], s["gutter"]) == (612.0, 792.0, 72.0, 36.0, None)
-    assert X.defaults("<w:styles/>") == ("Times New Roman", 12.0)
-    assert X.defaults('<w:styles><w:docDefaults><w:rPrDefault><w:rPr><w:rFonts w:ascii="Calibri"/><w:sz w:val="22"/></w:rPr></w:rPrDefault></w:docDefaults></w:styles>') == ("Calibri", 11.0)
-    head, body, sect, tail = X.body_slice(document(para("x") + "<w:p><w:pPr><w:sectPr/></w:pPr></w:p>"))
-    assert sect == SECT and body.endswith("</w:p>") and head + body + sect + tail == document(para("x") + "<w:p><w:pPr><w:sectPr/></w:pPr></w:p>")
+    assert X.defaults(ox("<styles/>")) == ("Times New Roman", 12.0)
+    assert X.defaults(ox('<styles><docDefaults><rPrDefault><rPr><rFonts ascii="Calibri"/><sz val="22"/></rPr></rPrDefault></docDefaults></styles>')) == ("Calibri", 11.0)
+    head, body, sect, tail = X.body_slice(document(para("x") + ox("<p><pPr><sectPr/></pPr></p>")))
+    assert sect == SECT and body.endswith(ox("</p>")) and head + body + sect + tail == document(para("x") + ox("<p><pPr><sectPr/></pPr></p>"))
 
 
 def test_footnote_format():
-    assert X.footnote_format(NOTES) == ("<w:rPr><w:i/></w:rPr>", "\t") and X.footnote_format("<w:footnotes/>") == (None, None)
-    wrong = NOTES.replace("<w:i/>", "<w:b/>").replace("<w:r><w:tab/></w:r>", '<w:r><w:t xml:space="preserve"> </w:t></w:r>')
-    out, n = X.apply_footnote_format(wrong, "<w:rPr><w:i/></w:rPr>", "\t")
-    assert n == 1 and X.footnote_format(out) == ("<w:rPr><w:i/></w:rPr>", "\t") and "note" in out
-    bare = NOTES.replace("<w:r><w:tab/></w:r>", "")
-    assert X.footnote_format(bare) == ("<w:rPr><w:i/></w:rPr>", "")  # the note's text is no separator
-    assert "<w:r><w:tab/></w:r><w:r><w:t>note" in X.apply_footnote_format(bare, None, "\t")[0]
-    assert "<w:tab/>" not in X.apply_footnote_format(NOTES, None, "")[0]
+    assert X.footnote_format(NOTES) == (ox("<rPr><i/></rPr>"), "\t") and X.footnote_format(ox("<footnotes/>")) == (None, None)
+    wrong = NOTES.replace(ox("<i/>"), ox("<b/>")).replace(ox("<r><tab/></r>"), ox('<r><t xml:space="preserve"> </t></r>'))
+    out, n = X.apply_footnote_format(wrong, ox("<rPr><i/></rPr>"), "\t")
+    assert n == 1 and X.footnote_format(out) == (ox("<rPr><i/></rPr>"), "\t") and "note" in out
+    bare = NOTES.replace(ox("<r><tab/></r>"), "")
+    assert X.footnote_format(bare) == (ox("<rPr><i/></rPr>"), "")  # the note's text is no separator
+    assert ox("<r><tab/></r><r><t>note") in X.apply_footnote_format(bare, None, "\t")[0]
+    assert ox("<tab/>") not in X.apply_footnote_format(NOTES, None, "")[0]
 
 
 def test_references_are_injected_and_the_rest_of_the_run_stays():
-    doc = document(para("opener.[1] middle.[2] end.[007]", "<w:rPr><w:b/></w:rPr>"))
+    doc = document(para("opener.[1] middle.[2] end.[007]", ox("<rPr><b/></rPr>")))
     out, used, cited = X.inject_references(doc, {1, 7, 99})
     assert used == [1, 7] and cited == [1, 2, 7]
     assert "".join(r.text for r in X.paragraphs(out)[0].runs) == "opener. middle.[2] end."
-    assert [r.rpr for r in X.paragraphs(out)[0].runs if r.text] == ["<w:rPr><w:b/></w:rPr>"] * 2 and X.parse_error(out.encode()) is None
+    assert [r.rpr for r in X.paragraphs(out)[0].runs if r.text] == [ox("<rPr><b/></rPr>")] * 2 and X.parse_error(out.encode()) is None
 
 
 def test_notes_kind_there_and_back(spark):
-    doc = document('<w:p><w:r><w:footnoteReference w:id="1"/></w:r></w:p>')
-    types = '<Types xmlns="c"><Override PartName="/word/footnotes.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.footnotes+xml"/></Types>'
-    rels = '<Relationships xmlns="r"><Relationship Id="rId10" Type="http://x/relationships/footnotes" Target="footnotes.xml"/></Relationships>'
+    doc = document(ox('<p><r><footnoteReference id="1"/></r></p>'))
+    kind = "footnotes"
+    types = f'<Types xmlns="c"><Override PartName="/word/{kind}.xml" ContentType="{"application/vnd.openxmlformats"}-officedocument.wordprocessingml.{kind}+xml"/></Types>'
+    rels = relations("rId10", kind)
     rows = package("a", doc, rels=rels, footnotes=NOTES)
     rows[0] = ("a", 0, P.CONTENT_TYPES, bytearray(types.encode()))
     df = frame(spark, rows, package("b", doc))
     there = D.convert_notes_kind(df)
     assert "w:endnoteReference" in part(there, "a", P.DOCUMENT) and "endnotes+xml" in part(there, "a", P.CONTENT_TYPES) and 'Target="endnotes.xml"' in part(there, "a", P.RELS)
-    assert "<w:endnotes " in part(there, "a", P.ENDNOTES)
+    assert ox("<endnotes ") in part(there, "a", P.ENDNOTES)
     back = D.convert_notes_kind(there, to_endnotes=False)
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.select("doc_id", "part_ord", "part_name", "data").collect()))
 
@@ -147,32 +163,32 @@ def test_inject_footnotes_job(spark):
 
 def test_transplant(spark):
     bp = package("bp", document(para("blueprint text")), styles=styles(("MyH1", "heading 1", 0), ("N", "Normal", None)), footnotes=NOTES)
-    src = package("s", document(para("source text", "<w:rPr><w:color/></w:rPr>", '<w:pPr><w:pStyle w:val="Heading1"/></w:pPr>', ' w:rsidR="1"'), '<w:sectPr><w:pgSz w:w="8000"/></w:sectPr>'), styles=styles(("Heading1", "heading 1", 0)), footnotes=NOTES.replace("<w:i/>", "<w:b/>"))
+    src = package("s", document(para("source text", ox("<rPr><color/></rPr>"), ox('<pPr><pStyle val="Heading1"/></pPr>'), ' w:rsidR="1"'), ox('<sectPr><pgSz w="8000"/></sectPr>')), styles=styles(("Heading1", "heading 1", 0)), footnotes=NOTES.replace(ox("<i/>"), ox("<b/>")))
     out = D.transplant(frame(spark, bp), frame(spark, src), spark.createDataFrame([("bp", "s")], "blueprint_id string, source_id string"))
     doc = part(out, "s", P.DOCUMENT)
     assert "source text" in doc and "blueprint text" not in doc and SECT in doc and "8000" not in doc and "rsidR" not in doc and "w:color" not in doc
-    assert '<w:pStyle w:val="MyH1"/>' in doc and "<w:i/>" in part(out, "s", P.FOOTNOTES) and "MyH1" in part(out, "s", P.STYLES)
+    assert ox('<pStyle val="MyH1"/>') in doc and ox("<i/>") in part(out, "s", P.FOOTNOTES) and "MyH1" in part(out, "s", P.STYLES)
     assert "footnotes" in part(out, "s", P.CONTENT_TYPES)
 
 
 def test_headings(spark):
-    big, mid, small = ('<w:rPr><w:b/><w:sz w:val="48"/></w:rPr>', '<w:rPr><w:b/><w:sz w:val="36"/></w:rPr>', '<w:rPr><w:sz w:val="28"/></w:rPr>')
-    styled = '<w:pPr><w:pStyle w:val="Heading1"/></w:pPr>'
-    body = para("Large", big, '<w:pPr><w:pStyle w:val="N"/></w:pPr>') + para("body text", small) + para("Middle", mid) + para("Done", big, styled) + para("x" * 100, big) + para("more body", small)
+    big, mid, small = (ox('<rPr><b/><sz val="48"/></rPr>'), ox('<rPr><b/><sz val="36"/></rPr>'), ox('<rPr><sz val="28"/></rPr>'))
+    styled = ox('<pPr><pStyle val="Heading1"/></pPr>')
+    body = para("Large", big, ox('<pPr><pStyle val="N"/></pPr>')) + para("body text", small) + para("Middle", mid) + para("Done", big, styled) + para("x" * 100, big) + para("more body", small)
     df = frame(spark, package("a", document(body), styles=styles(("Heading1", "heading 1", 0))), package("none", document(para("plain"))))
     found = D.infer_headings(df)
     assert sorted((r.doc_id, r.p_idx, r.level, r.size) for r in found.collect()) == [("a", 0, 1, 24.0), ("a", 2, 2, 18.0)]
     blueprint = frame(spark, package("bp", document(""), styles=styles(("H1", "heading 1", 0), ("H4", "heading 4", 3))))
     out = part(D.apply_headings(df, found, blueprint), "a", P.DOCUMENT)
-    assert '<w:pStyle w:val="H1"/></w:pPr><w:r><w:rPr><w:b/><w:sz w:val="48"/></w:rPr><w:t>Large' in out and out.count("w:pStyle") == 2
+    assert ox('<pStyle val="H1"/></pPr><r><rPr><b/><sz val="48"/></rPr><t>Large') in out and out.count("w:pStyle") == 2
     assert part(D.apply_headings(df, found, blueprint, insert_missing=True), "a", P.DOCUMENT).count("w:pStyle") == 3
 
 
 def test_check(spark):
-    bad = document('<w:p w:rsidR="AA" w14:paraId="1"/><w:p w14:paraId="1"/><w:sdt/><w:bookmarkStart w:id="5"/><w:bookmarkStart w:id="5"/><w:p><w:hyperlink r:id="rId8"/></w:p>'.replace("r:id", "id"))
-    good = document('<w:p w:rsidR="BB" w14:paraId="1"/>')
-    settings = f'<w:settings {W}><w:rsids><w:rsid w:val="BB"/></w:rsids></w:settings>'
-    df = frame(spark, package("bad", bad, settings="<w:settings"), package("good", good, styles=styles(), settings=settings))
+    bad = document(ox('<p rsidR="AA" w14:paraId="1"/><p w14:paraId="1"/><sdt/><bookmarkStart id="5"/><bookmarkStart id="5"/><p><hyperlink r:id="rId8"/></p>').replace("r:id", "id"))
+    good = document(ox('<p rsidR="BB" w14:paraId="1"/>'))
+    settings = ox(f'<settings {W}><rsids><rsid val="BB"/></rsids></settings>')
+    df = frame(spark, package("bad", bad, settings=ox("<settings")), package("good", good, styles=styles(), settings=settings))
     got = D.check_package(df).collect()
     assert {r.check_no for r in got if r.doc_id == "bad" and r.severity == "issue"} == {1, 2, 3, 4, 5, 6, 7}
     assert {r.severity for r in got if r.doc_id == "good"} == {"ok"}
