@@ -25,8 +25,8 @@ from quillframe.llm import vocabulary
 SCHEMA = "doc_id long, token_ids array<int>, n_tokens int, round_trip boolean"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("token_ids", pa.list_(pa.int32())), ("n_tokens", pa.int32()), ("round_trip", pa.bool_())])
 _SPLIT = regex.compile(vocabulary.PATTERN)
-#: Texts without this can be cut at single spaces and newlines before the pattern is applied.
-_UNSAFE = re.compile(r"\s |[ \x0b\x0c\r\x1c-\x1f\x85\xa0  -     　]\s|\s[\x0b\x0c\r\x1c-\x1f\x85\xa0  -     　]|\n\n")
+#: Texts without white space next to white space can be cut at spaces and newlines before the pattern is applied.
+_UNSAFE = re.compile(r"\s\s")
 #: Entries in a worker's memo of chunks; it starts again beyond, which changes time only.
 MEMO = 2_000_000
 
