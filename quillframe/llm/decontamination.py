@@ -1,20 +1,16 @@
-"""Benchmark decontamination: edit-distance search by CGK embedding and bit-sampling LSH.
+"""Benchmark decontamination: exact edit-distance search by unedited parts.
 
-Texts are sequences of words (letters only, case folded). The CGK random walk maps a sequence to a longer
-one: at each step it writes the word that it stands on and moves on or stays, as a random function of
-step and word says. Sequences at a small edit distance fall into step again, so that their embeddings
-are at a small Hamming distance. Every word of a document starts a window for each size class of items;
-the embedding is sampled at a few steps for each of several tables, and a window that agrees with an
-item on all the steps of one table is a candidate, which exact edit distance then decides.
+Texts are sequences of words (letters only, case folded). An item that may have k edits is cut into k + 1
+parts of equal length, give or take a word: wherever it occurs within k edits, one part at least is there
+unedited, at most k words from where the item's start says. So each run of words of a document that is
+some item's part makes that item a candidate at one place, and none is lost. Candidates then have to have
+enough of the item's words about that place before exact edit distance decides.
 
-The number of tables follows from the target recall. Before the walk, a window is passed over only if
-it holds more words unknown to all items than an item may have edits: that can't lose a match.
 Items are few and sent to all workers in slices of bounded size; more items mean more slices.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,92 +24,67 @@ from quillframe.llm.textblocks import LETTERS, blocks, mix64, word_hashes
 
 #: Edits an item may have, as a share of its words; items of fewer words say too little to be matched.
 EDIT_RATE, MIN_WORDS = 0.2, 5
-#: Steps sampled for a table; agreement of a step that tables are reckoned with; recall to reach.
-SAMPLED, AGREEMENT, RECALL = 3, 0.5, 0.97
+#: Words of a part that are looked up; candidates (and words of their windows) that are handled at once.
+PART_WORDS, AT_ONCE = 8, 1 << 20
 SLICE_ITEMS = 20_000
-_SEED, _MAP = 7, 22
-
-
-def size_class(n: int) -> int:
-    """The window for items of n words: the steps 5, 6, 7, 8, 10, 12, ... (by a quarter) that n reaches."""
-    c = MIN_WORDS
-    while max(c + 1, c * 5 // 4) <= n:
-        c = max(c + 1, c * 5 // 4)
-    return c
-
-
-def _movers(steps: int) -> np.ndarray:
-    return mix64(np.arange(1, steps + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-
-
-def embed(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, steps: int, sampled: np.ndarray) -> dict[int, np.ndarray]:
-    """What the walks from ``starts`` write at the sampled steps; past its end a walk writes 0."""
-    at, wanted, out, movers = starts.copy(), set(sampled.ravel().tolist()), {}, _movers(steps)
-    padded = np.append(words, np.uint64(0))
-    for j in range(steps):
-        here = padded[np.where(at < ends, at, len(words))]
-        if j in wanted:
-            out[j] = here
-        at += ((here * movers[j]) >> np.uint64(63)).astype(at.dtype)
-    return out
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass(frozen=True)
-class SizeClass:
-    size: int
-    edits: int  # the most that an item of the class may have
-    steps: np.ndarray  # tables x SAMPLED
-    keys: list[np.ndarray]  # of each table, sorted
-    items: list[np.ndarray]  # in the order of the keys
+class Parts:
+    """The parts of one length of all items: keys in order, with the item and the part's place in it."""
+
+    length: int
+    keys: np.ndarray
+    items: np.ndarray
+    places: np.ndarray
+    bits: int
+    seen: np.ndarray  # bitmap of the first bits of the keys
 
 
 @dataclass(frozen=True)
 class Items:
     ids: np.ndarray
     words: list[np.ndarray]
-    known: np.ndarray  # bitmap of the words of all items
-    classes: list[SizeClass]
-
-
-def _keys(written: dict[int, np.ndarray], steps: np.ndarray) -> np.ndarray:
-    key = np.zeros(len(next(iter(written.values()))), np.uint64)
-    for j in steps.tolist():
-        key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + written[j] + np.uint64(1))
-    return key
+    edits: np.ndarray  # the most that each may have
+    parts: list[Parts]
 
 
-def table_count(recall: float = RECALL) -> int:
-    return math.ceil(math.log(1 - recall) / math.log(1 - AGREEMENT**SAMPLED))
+def run_hashes(words: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(length, hash of the run of so many words from each word on), the last ones cut off."""
+    h = words
+    for length in range(1, longest + 1):
+        if length > 1:
+            h = mix64(h[:-1] * _STEP + words[length - 1 :]) if len(h) else h
+        yield length, h
 
 
-def prepare(rows: list[tuple[int, str]], recall: float = RECALL) -> Items:
-    """Items as hashed words, with their keys by size class."""
+def prepare(rows: list[tuple[int, str]], rate: float = EDIT_RATE) -> Items:
+    """Items as hashed words, with the parts of which one is unedited in any match."""
+    if not 0 <= rate < 1:
+        raise ValueError("rate must be a share of the words, under 1")
     ids, words = [], []
     for _, _, data, offsets in blocks(pa.array([t for _, t in rows], pa.string()), lower=True):
         h, b = word_hashes(data, offsets, LETTERS)
         words += [h[x:y] for x, y in zip(b, b[1:])]
     kept = [k for k, w in enumerate(words) if len(w) >= MIN_WORDS]
     ids, words = np.array([rows[k][0] for k in kept], np.int64), [words[k] for k in kept]
-    known = np.zeros(1 << _MAP, bool)
-    known[(np.concatenate([np.zeros(0, np.uint64), *words]) >> np.uint64(64 - _MAP)).astype(np.int64)] = True
-    classes = []
-    by_class: dict[int, list[int]] = {}
+    edits = np.array([int(rate * len(w)) for w in words], np.int64)
+    found: dict[int, list[tuple[int, int, int]]] = {}
     for k, w in enumerate(words):
-        by_class.setdefault(size_class(len(w)), []).append(k)
-    for c, members in sorted(by_class.items()):
-        rng = np.random.default_rng(_SEED + c)
-        steps = np.array([np.sort(rng.choice(2 * c, SAMPLED, replace=False)) for _ in range(table_count(recall))])
-        flat = np.concatenate([words[k] for k in members])
-        ends = np.cumsum([len(words[k]) for k in members])
-        written = embed(flat, np.append(0, ends[:-1]), ends, 2 * c, steps)
-        keys, items = [], []
-        for s in steps:
-            key = _keys(written, s)
-            order = np.argsort(key, kind="stable")
-            keys.append(key[order])
-            items.append(np.array(members)[order])
-        classes.append(SizeClass(c, max(int(EDIT_RATE * len(words[k])) for k in members), steps, keys, items))
-    return Items(ids, words, known, classes)
+        cuts = [j * len(w) // (int(edits[k]) + 1) for j in range(int(edits[k]) + 2)]
+        hashes = dict(run_hashes(w, min(PART_WORDS, max(y - x for x, y in zip(cuts, cuts[1:])))))
+        for x, y in zip(cuts, cuts[1:]):
+            length = min(PART_WORDS, y - x)
+            found.setdefault(length, []).append((int(hashes[length][x]), k, x))
+    parts = []
+    for length, made in sorted(found.items()):
+        keys = np.array([h for h, _, _ in made], np.uint64)
+        order, bits = np.argsort(keys, kind="stable"), max(10, (8 * len(keys)).bit_length())
+        seen = np.zeros(1 << bits, bool)
+        seen[(keys >> np.uint64(64 - bits)).astype(np.int64)] = True
+        parts.append(Parts(length, keys[order], np.array([k for _, k, _ in made])[order], np.array([x for _, _, x in made])[order], bits, seen))
+    return Items(ids, words, edits, parts)
 
 
 def best_edits(item: np.ndarray, texts: np.ndarray) -> np.ndarray:
@@ -129,69 +100,66 @@ def best_edits(item: np.ndarray, texts: np.ndarray) -> np.ndarray:
     return row.min(axis=1)
 
 
-def candidates(words: np.ndarray, bounds: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (start of window, item) pairs that agree in some table."""
+def candidates(words: np.ndarray, bounds: np.ndarray, items: Items) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(document, where in words the item starts if nothing moved it, item): each unedited part, some at a time."""
+    wanted = {p.length: p for p in items.parts}
     ends = np.repeat(bounds[1:], np.diff(bounds))
-    unknown = np.append(0, np.cumsum(~items.known[(words >> np.uint64(64 - _MAP)).astype(np.int64)]))
-    starts, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    every = np.arange(len(words))
-    for c in items.classes:
-        stop = np.minimum(every + c.size, ends)
-        at = every[(unknown[stop] - unknown[:-1] <= c.edits) & (stop - every >= c.size - c.edits)]
-        for part in np.array_split(at, max(1, len(at) // 20_000)):
-            if not len(part):
+    for length, h in run_hashes(words, max(wanted, default=0)):
+        if length not in wanted or not len(h):
+            continue
+        p = wanted[length]
+        at = np.flatnonzero(p.seen[(h >> np.uint64(64 - p.bits)).astype(np.int64)])
+        at = at[at + length <= ends[at]]
+        low, high = np.searchsorted(p.keys, h[at]), np.searchsorted(p.keys, h[at], "right")
+        at, low, n = at[high > low], low[high > low], (high - low)[high > low]
+        total = np.cumsum(n)
+        for chunk in np.split(np.arange(len(at)), np.flatnonzero(np.diff(total // AT_ONCE)) + 1):
+            if not len(chunk):
                 continue
-            written = embed(words, part, ends[part], 2 * c.size, c.steps)
-            for t, s in enumerate(c.steps):
-                key = _keys(written, s)
-                low, high = np.searchsorted(c.keys[t], key), np.searchsorted(c.keys[t], key, "right")
-                hit = np.flatnonzero(high > low)
-                n = (high - low)[hit]
-                if len(hit):
-                    slot = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[hit], n)
-                    starts.append(np.repeat(part[hit], n))
-                    found.append(c.items[t][slot])
-    pair = np.unique(np.stack([np.concatenate(starts), np.concatenate(found)], axis=1), axis=0)
-    return pair[:, 0], pair[:, 1]
-
-
-def matches(data: np.ndarray, offsets: np.ndarray, items: Items, rate: float = EDIT_RATE) -> list[tuple[int, int, int, int]]:
+            m = n[chunk]
+            slot = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(low[chunk], m)
+            place = np.repeat(at[chunk], m)
+            pair = np.unique(np.stack([np.searchsorted(bounds, place, "right") - 1, place - p.places[slot], p.items[slot]], axis=1), axis=0)
+            yield pair[:, 0], pair[:, 1], pair[:, 2]
+
+
+def matches(data: np.ndarray, offsets: np.ndarray, items: Items) -> list[tuple[int, int, int, int]]:
     """(document, item, edits, first word of the window): the best of each pair, the first of equal ones."""
     words, bounds = word_hashes(data, offsets, LETTERS)
-    starts, found = candidates(words, bounds, items)
-    if not len(starts):
-        return []
-    doc = np.searchsorted(bounds, starts, "right") - 1
     best: dict[tuple[int, int], tuple[int, int]] = {}
-    order = np.argsort(found, kind="stable")
-    for group in np.split(order, np.flatnonzero(np.diff(found[order])) + 1):
-        k = int(found[group[0]])
-        item = items.words[k]
-        allowed = int(rate * len(item))
-        for part in np.array_split(group, -(-len(group) // 2048)):
-            columns = starts[part][:, None] + np.arange(-allowed, len(item) + allowed)[None, :]
-            inside = (columns >= bounds[doc[part]][:, None]) & (columns < bounds[doc[part] + 1][:, None])
-            texts = np.where(inside, words[np.clip(columns, 0, len(words) - 1)], np.uint64(0))
-            for j, edits in zip(part.tolist(), best_edits(item, texts).tolist()):
-                if edits <= allowed:
-                    pair, value = (int(doc[j]), k), (edits, int(starts[j] - bounds[doc[j]]))
-                    best[pair] = min(best.get(pair, value), value)
+    for doc, starts, found in candidates(words, bounds, items):
+        order = np.argsort(found, kind="stable")
+        for group in np.split(order, np.flatnonzero(np.diff(found[order])) + 1):
+            k = int(found[group[0]])
+            item, allowed = items.words[k], int(items.edits[k])
+            own = np.sort(item)
+            for part in np.array_split(group, -(-len(group) * (len(item) + 2 * allowed) // AT_ONCE)):
+                columns = starts[part][:, None] + np.arange(-allowed, len(item) + allowed)[None, :]
+                inside = (columns >= bounds[doc[part]][:, None]) & (columns < bounds[doc[part] + 1][:, None])
+                texts = np.where(inside, words[np.clip(columns, 0, len(words) - 1)], np.uint64(0))
+                # all but the edited words of the item are in the window
+                likely = (own[np.minimum(np.searchsorted(own, texts), len(own) - 1)] == texts).sum(axis=1) >= len(item) - allowed
+                part, texts = part[likely], texts[likely]
+                for j, edits in zip(part.tolist(), best_edits(item, texts).tolist() if len(part) else []):
+                    if edits <= allowed:
+                        pair, value = (int(doc[j]), k), (edits, max(int(starts[j] - bounds[doc[j]]), 0))
+                        best[pair] = min(best.get(pair, value), value)
     return [(d, k, e, s) for (d, k), (e, s) in sorted(best.items())]
 
 
-def _slices(benchmark: DataFrame, item_col: str, text_col: str, slice_items: int, recall: float):
+def _slices(benchmark: DataFrame, item_col: str, text_col: str, slice_items: int, rate: float):
     """Prepared items in slices, each broadcast; null ids and texts are left out."""
     rows = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where("i is not null and t is not null")
     sc, held = benchmark.sparkSession.sparkContext, []
     for r in rows.orderBy("i", "t").toLocalIterator():
         held.append((r["i"], r["t"]))
         if len(held) == slice_items:
-            yield sc.broadcast(prepare(held, recall))
+            yield sc.broadcast(prepare(held, rate))
             held = []
-    yield sc.broadcast(prepare(held, recall))
+    yield sc.broadcast(prepare(held, rate))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE, recall: float = RECALL, slice_items: int = SLICE_ITEMS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE, slice_items: int = SLICE_ITEMS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, item_id, edits, n_words, start_word``: a row for each item found in a row of docs.
 
     An item is found where some part of the text is within ``rate`` times its number of words (n_words) in
@@ -202,13 +170,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE,
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id long, item_id long, edits int, n_words int, start_word int"
     out = None
-    for sent in _slices(benchmark, "item_id", "text", slice_items, recall):
+    for sent in _slices(benchmark, "item_id", "text", slice_items, rate):
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             items = sent.value
             for batch in batches:
                 for first, last, data, offsets in blocks(batch.column(1), lower=True):
-                    found = matches(data, offsets, items, rate)
+                    found = matches(data, offsets, items)
                     ids = batch.column(0).slice(first, last - first).take(pa.array([d for d, *_ in found], pa.int64()))
                     rest = [[int(items.ids[k]) for _, k, _, _ in found], [e for _, _, e, _ in found], [len(items.words[k]) for _, k, _, _ in found], [s for *_, s in found]]
                     yield pa.RecordBatch.from_arrays([ids, pa.array(rest[0], pa.int64()), *(pa.array(x, pa.int32()) for x in rest[1:])], names=["doc_id", "item_id", "edits", "n_words", "start_word"])
@@ -218,19 +186,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE,
     return out if out is not None else spark.createDataFrame([], schema)
 
 
-def _finder(sent, rate: float):
+def _finder(sent):
     @F.pandas_udf("boolean")
     def found(text: pd.Series) -> pd.Series:
         out = np.zeros(len(text), bool)
         for first, _, data, offsets in blocks(pa.array(text, pa.string(), from_pandas=True), lower=True):
-            out[[first + d for d, *_ in matches(data, offsets, sent.value, rate)]] = True
+            out[[first + d for d, *_ in matches(data, offsets, sent.value)]] = True
         return pd.Series(out, index=text.index)
 
     return found
 
 
-def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE, recall: float = RECALL, slice_items: int = SLICE_ITEMS, text_col: str = "text") -> DataFrame:
+def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE, slice_items: int = SLICE_ITEMS, text_col: str = "text") -> DataFrame:
     """The rows of docs in which no item is found, all columns as they are; null texts stay."""
-    for sent in _slices(benchmark, "item_id", "text", slice_items, recall):
-        docs = docs.where(~_finder(sent, rate)(F.col(text_col).cast("string")))
+    for sent in _slices(benchmark, "item_id", "text", slice_items, rate):
+        docs = docs.where(~_finder(sent)(F.col(text_col).cast("string")))
     return docs

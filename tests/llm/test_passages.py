@@ -2,6 +2,7 @@ import random
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,6 +112,26 @@ def test_recall_against_brute_force(spark):
     assert all(got[p] == want[p] for p in got if want[p] == 0)
 
 
+@pytest.mark.parametrize("length", [5, 7, 12, 20, 40, 60, 100, 150, 200])
+def test_every_item_at_its_most_edits_is_found(length):
+    rng = random.Random(length)
+    pool = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 9))) for _ in range(3000)]
+    items = [[rng.choice(pool) for _ in range(length)] for _ in range(40)]
+    texts = []
+    for item in items:
+        while True:
+            copy = list(item)
+            for k in rng.sample(range(length), int(D.EDIT_RATE * length)):
+                copy[k] = rng.choice([rng.choice(pool), "", copy[k] + " " + rng.choice(pool)])
+            copy = " ".join(copy).split()
+            if distance_to_part(item, copy) == int(D.EDIT_RATE * length):
+                break
+        texts.append(" ".join([rng.choice(pool) for _ in range(rng.randrange(30))] + copy + [rng.choice(pool) for _ in range(rng.randrange(30))]))
+    made = D.prepare([(k, " ".join(x)) for k, x in enumerate(items)])
+    found = {(first + d, k): e for first, _, data, offsets in D.blocks(pa.array(texts), True) for d, k, e, _ in D.matches(data, offsets, made)}
+    assert [found.get((k, k), 99) <= int(D.EDIT_RATE * length) for k in range(len(items))] == [True] * len(items)
+
+
 def test_decontamination_odd_rows(spark):
     item = "the quick brown fox jumps over the lazy dog and runs away from it all"
     items = spark.createDataFrame([(1, item), (2, None), (3, ""), (None, "with no id but many words to match here"), (4, "too short"), (5, item)], "item_id long, text string").withColumn("doc_id", F.lit("x"))
