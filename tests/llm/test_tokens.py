@@ -134,3 +134,14 @@ def test_dictionary_is_merged_in_a_tree(spark):
     tokens = spark.createDataFrame([(k, bytearray(np.array([(k * j) % 97 for j in range(400)], "<u2").tobytes())) for k in range(300)], "doc_id long, ids binary").repartition(9)
     assert len(token_output.train(tokens, "<u2", 2048, fan_in=3)) > 256
     assert os.path.isdir("/opt/tokenizers")
+
+
+def test_last_documents_reach_the_dictionary(spark):
+    rng = random.Random(4)
+    first, last = [rng.randbytes(16) for _ in range(400)], [rng.randbytes(16) for _ in range(100)]
+    rows = [(k, b"".join(rng.choice(last if k >= 1800 else first) for _ in range(60))) for k in range(2400)]
+    learnt = token_output.learn([x for _, x in rows])
+    assert all(x in learnt for x in last)
+    tokens = spark.createDataFrame([(k, bytearray(x)) for k, x in rows], "doc_id long, ids binary").repartitionByRange(8, "doc_id")
+    trained = token_output.train(tokens, "<u2", 16384)
+    assert sum(x in trained for x in last) >= 90 and any(x in trained for x in first)
