@@ -1,6 +1,7 @@
 """Benchmark decontamination: exact edit-distance search by unedited parts.
 
-Texts are sequences of words (letters only, case folded). An item that may have k edits is cut into k + 1
+Texts are sequences of words (case folded): runs of letters, runs of digits, and each character of a
+script without spaces. An item that may have k edits is cut into k + 1
 parts of equal length, give or take a word: wherever it occurs within k edits, one part at least is there
 unedited, at most k words from where the item's start says. So each run of words of a document that is
 some item's part makes that item a candidate at one place, and none is lost. Candidates then have to have
@@ -20,9 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillframe.llm.textblocks import LETTERS, blocks, mix64, word_hashes
+from quillframe.llm.textblocks import blocks, mix64, text_words
 
-#: Edits an item may have, as a share of its words; items of fewer words say too little to be matched.
+#: Edits an item may have, as a share of its words; items of fewer words are left out unless min_words says otherwise.
 EDIT_RATE, MIN_WORDS = 0.2, 5
 #: Words of a part that are looked up; candidates (and words of their windows) that are handled at once.
 PART_WORDS, AT_ONCE = 8, 1 << 20
@@ -59,15 +60,15 @@ def run_hashes(words: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarra
         yield length, h
 
 
-def prepare(rows: list[tuple[int, str]], rate: float = EDIT_RATE) -> Items:
+def prepare(rows: list[tuple[int, str]], rate: float = EDIT_RATE, min_words: int = MIN_WORDS) -> Items:
     """Items as hashed words, with the parts of which one is unedited in any match."""
     if not 0 <= rate < 1:
         raise ValueError("rate must be a share of the words, under 1")
     ids, words = [], []
     for _, _, data, offsets in blocks(pa.array([t for _, t in rows], pa.string()), lower=True):
-        h, b = word_hashes(data, offsets, LETTERS)
+        h, b, _ = text_words(data, offsets)
         words += [h[x:y] for x, y in zip(b, b[1:])]
-    kept = [k for k, w in enumerate(words) if len(w) >= MIN_WORDS]
+    kept = [k for k, w in enumerate(words) if len(w) >= max(min_words, 1)]
     ids, words = np.array([rows[k][0] for k in kept], np.int64), [words[k] for k in kept]
     edits = np.array([int(rate * len(w)) for w in words], np.int64)
     found: dict[int, list[tuple[int, int, int]]] = {}
@@ -125,7 +126,7 @@ def candidates(words: np.ndarray, bounds: np.ndarray, items: Items) -> Iterator[
 
 def matches(data: np.ndarray, offsets: np.ndarray, items: Items) -> list[tuple[int, int, int, int]]:
     """(document, item, edits, first word of the window): the best of each pair, the first of equal ones."""
-    words, bounds = word_hashes(data, offsets, LETTERS)
+    words, bounds, _ = text_words(data, offsets)
     best: dict[tuple[int, int], tuple[int, int]] = {}
     for doc, starts, found in candidates(words, bounds, items):
         order = np.argsort(found, kind="stable")
@@ -147,30 +148,31 @@ def matches(data: np.ndarray, offsets: np.ndarray, items: Items) -> list[tuple[i
     return [(d, k, e, s) for (d, k), (e, s) in sorted(best.items())]
 
 
-def _slices(benchmark: DataFrame, item_col: str, text_col: str, slice_items: int, rate: float):
+def _slices(benchmark: DataFrame, item_col: str, text_col: str, slice_items: int, rate: float, min_words: int):
     """Prepared items in slices, each broadcast; null ids and texts are left out."""
     rows = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where("i is not null and t is not null")
     sc, held = benchmark.sparkSession.sparkContext, []
     for r in rows.orderBy("i", "t").toLocalIterator():
         held.append((r["i"], r["t"]))
         if len(held) == slice_items:
-            yield sc.broadcast(prepare(held, rate))
+            yield sc.broadcast(prepare(held, rate, min_words))
             held = []
-    yield sc.broadcast(prepare(held, rate))
+    yield sc.broadcast(prepare(held, rate, min_words))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE, slice_items: int = SLICE_ITEMS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE, slice_items: int = SLICE_ITEMS, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``doc_id, item_id, edits, n_words, start_word``: a row for each item found in a row of docs.
 
     An item is found where some part of the text is within ``rate`` times its number of words (n_words) in
     word edits. Null and empty texts have no rows, and neither have items that are null, empty or under
-    MIN_WORDS words. Rows with null or repeated ids give their own rows; so do items with one id.
+    ``min_words`` words. With 1 none is left out: those of under five words have to occur as they are, at the
+    default rate. Rows with null or repeated ids give their own rows; so do items with one id.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id long, item_id long, edits int, n_words int, start_word int"
     out = None
-    for sent in _slices(benchmark, "item_id", "text", slice_items, rate):
+    for sent in _slices(benchmark, "item_id", "text", slice_items, rate, min_words):
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             items = sent.value
@@ -197,8 +199,8 @@ def _finder(sent):
     return found
 
 
-def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE, slice_items: int = SLICE_ITEMS, text_col: str = "text") -> DataFrame:
+def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE, slice_items: int = SLICE_ITEMS, text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """The rows of docs in which no item is found, all columns as they are; null texts stay."""
-    for sent in _slices(benchmark, "item_id", "text", slice_items, rate):
+    for sent in _slices(benchmark, "item_id", "text", slice_items, rate, min_words):
         docs = docs.where(~_finder(sent)(F.col(text_col).cast("string")))
     return docs

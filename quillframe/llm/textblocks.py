@@ -7,7 +7,9 @@ a document is never cut, so that a block holds one whole document at least.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -69,6 +71,43 @@ def blocks(column: pa.Array, lower: bool, limit: int = BLOCK_BYTES) -> Iterator[
         first = last
 
 
+#: Kinds of characters: runs of letters and runs of digits are words, and so is each character of a script without spaces.
+BREAK, LETTER, DIGIT, SINGLE = range(4)
+#: Han, kana, Thai, Lao, Myanmar, Khmer: written without spaces.
+_UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x20000, 0x3FFFF))
+
+
+@cache
+def _kinds() -> np.ndarray:
+    """The kind of each code point."""
+    of = {"L": LETTER, "M": LETTER, "N": DIGIT}
+    kinds = np.array([of.get(unicodedata.category(chr(c))[0], BREAK) for c in range(0x110000)], np.uint8)
+    for low, high in _UNSPACED:
+        part = kinds[low : high + 1]
+        part[part == LETTER] = SINGLE
+    return kinds
+
+
+def byte_kinds(data: np.ndarray) -> np.ndarray:
+    """The kind of the character that each byte belongs to."""
+    kinds = _kinds()
+    out = kinds[:256][data]
+    if not (data >= 0x80).any():
+        return out
+    lead = np.flatnonzero(data >= 0xC0)
+    more = 1 + (data[lead] >= 0xE0).astype(np.int64) + (data[lead] >= 0xF0)
+    code = data[lead].astype(np.int64) & (0x3F >> more)
+    for k in range(1, 4):
+        long = more >= k
+        code[long] = (code[long] << 6) | (data[lead[long] + k] & 0x3F)
+    found = kinds[code]
+    out[lead] = found
+    for k in range(1, 4):
+        long = more >= k
+        out[lead[long] + k] = found[long]
+    return out
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hash of each word of a block, and the number of words before each document (n + 1 values)."""
     inside = table[data]
@@ -76,15 +115,42 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tup
     start[1:] &= ~inside[:-1]
     begins = offsets[:-1][offsets[:-1] < offsets[1:]]
     start[begins] = inside[begins]
+    return _run_hashes(data, offsets, inside, start)[:2]
+
+
+def text_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``word_hashes``, of runs of letters, runs of digits and single characters of scripts without spaces.
+
+    The third array says of each word whether it is such a character and the next word follows it directly
+    and is one too. Words of plain letters have the hashes of ``word_hashes``.
+    """
+    kind = byte_kinds(data)
+    inside = kind != BREAK
+    start = inside.copy()
+    start[1:] &= (kind[1:] != kind[:-1]) | ((kind[1:] == SINGLE) & ((data[1:] & 0xC0) != 0x80))
+    begins = offsets[:-1][offsets[:-1] < offsets[1:]]
+    start[begins] = inside[begins]
+    words, bounds, at = _run_hashes(data, offsets, inside, start)
+    joined = np.zeros(len(at), bool)
+    single = kind[at] == SINGLE
+    if single.any():
+        breaks = np.cumsum(~inside)
+        joined[:-1] = single[:-1] & single[1:] & (breaks[at[:-1]] == breaks[at[1:]])
+        joined[bounds[1:][bounds[1:] > 0] - 1] = False
+    return words, bounds, joined
+
+
+def _run_hashes(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words that begin at ``start``, their bounds by document, and where they begin."""
     at = np.flatnonzero(start)
     if not len(at):
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), at
     word = np.cumsum(start) - 1
     place = np.arange(len(data)) - at[np.maximum(word, 0)]
     place[~inside] = 0
     value = (data.astype(np.uint64) + np.uint64(1)) * _powers(int(place.max()) + 1)[place]
     value[~inside] = 0
-    return mix64(np.add.reduceat(value, at)), np.searchsorted(at, offsets)
+    return mix64(np.add.reduceat(value, at)), np.searchsorted(at, offsets), at
 
 
 def ngram_hashes(words: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -143,3 +143,14 @@ def test_decontamination_odd_rows(spark):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 4, 6]
     assert D.contaminated(docs.limit(0), items).count() == 0 and D.contaminated(docs, items.limit(0)).count() == 0
     assert D.keep_uncontaminated(docs, items.limit(0)).count() == len(rows)
+
+
+def test_short_numeric_and_unspaced_items_are_found(spark):
+    rows = ["What is 12 * 30 + 7?", "Name the capital", "Who?", "\u5fd8\u308c\u7269\u3092\u3057\u305f\u3089\u3001\u3069\u3046\u3057\u307e\u3059\u304b\u3002", "\u0e40\u0e21\u0e37\u0e2d\u0e07\u0e2b\u0e25\u0e27\u0e07"]
+    items = spark.createDataFrame(list(enumerate(rows)), "item_id long, text string")
+    texts = [f"before {x} after" if x.isascii() else f"\u524d{x}\u5f8c" for x in rows]
+    texts += ["What is 99 * 88 + 6?", "name that capital", "before " + rows[3].replace("\u7269", "\u672c")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id, r.edits) for r in D.contaminated(docs, items, min_words=1).collect()}
+    assert got == {(0, 0, 0), (1, 1, 0), (2, 2, 0), (3, 3, 0), (4, 4, 0), (7, 3, 1)}
+    assert {r.doc_id for r in D.keep_uncontaminated(docs, items, min_words=1).collect()} == {5, 6}
