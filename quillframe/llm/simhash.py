@@ -1,7 +1,8 @@
 """SimHash near-duplicates with pigeonring filtering.
 
 A document's signature has 128 bits: each bit is the majority, over its distinct words, of that bit of
-the words' hashes. Two signatures are near if they differ in at most ``DISTANCE`` bits. Candidates share
+the words' hashes. Runs of letters and runs of digits are words; in scripts without spaces, neighbouring
+characters in twos are. A text without any word has a hash of itself as its signature. Two signatures are near if they differ in at most ``DISTANCE`` bits. Candidates share
 the bits at the positions sampled for one of several tables; the number of bits grows with the logarithm
 of the number of signatures, and the number of tables is what gives the target recall for pairs at the
 full distance, so that nearer pairs are found all but always. Candidate pairs then have to pass the
@@ -20,12 +21,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillframe.llm import shared
 from quillframe.llm.components import components
-from quillframe.llm.textblocks import LETTERS, blocks, distinct_per_document, mix64, word_hashes
+from quillframe.llm.textblocks import LETTERS, blocks, distinct_per_document, mix64, text_words, word_hashes  # noqa: F401 (tests take words from here)
 
 BITS, SEGMENTS, CHAIN = 128, 16, 4
 DISTANCE, RECALL, SEED = 20, 0.9, 20240229
@@ -33,7 +35,9 @@ DISTANCE, RECALL, SEED = 20, 0.9, 20240229
 
 def signatures_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(n, 2) uint64 signatures of a block of lower-case texts, and the number of distinct words of each."""
-    words, bounds = word_hashes(data, offsets, LETTERS)
+    words, bounds, joined = text_words(data, offsets)
+    two = np.flatnonzero(joined)
+    words[two] = mix64(words[two] * np.uint64(0x9E3779B97F4A7C15) + words[two + 1])
     words, bounds, _ = distinct_per_document(words, bounds)
     n = np.diff(bounds)
     ones = np.zeros((len(n), BITS), np.int32)
@@ -44,7 +48,10 @@ def signatures_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
         bits = np.unpackbits(np.stack([h, mix64(h ^ np.uint64(SEED))], axis=1).view(np.uint8), axis=1)
         here = rows[(bounds[rows] < a + step) & (bounds[rows + 1] > a)]
         ones[here] += np.add.reduceat(bits, np.maximum(bounds[here] - a, 0), axis=0, dtype=np.int32)
-    return np.packbits(2 * ones > n[:, None], axis=1).view(np.uint64), n
+    sig = np.packbits(2 * ones > n[:, None], axis=1).view(np.uint64)
+    for k in np.flatnonzero((n == 0) & (np.diff(offsets) > 0)).tolist():
+        sig[k] = np.frombuffer(xxhash.xxh3_128_digest(data[offsets[k] : offsets[k + 1]].tobytes()), np.uint64)
+    return sig, n
 
 
 def near(one: np.ndarray, other: np.ndarray, distance: int) -> np.ndarray:
@@ -110,13 +117,13 @@ def bucket_edges(sig: np.ndarray, ids: np.ndarray, keys: np.ndarray, distance: i
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, high, low, n_words`` for each row; high and low are null for texts without words, null ones too."""
+    """``doc_id, high, low, n_words`` for each row; high and low are null for null and empty texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, data, offsets in blocks(batch.column(1), lower=True):
                 sig, n = signatures_of(data, offsets)
-                parts = [pa.array(np.ascontiguousarray(sig[:, k]).view(np.int64), mask=n == 0) for k in (0, 1)]
+                parts = [pa.array(np.ascontiguousarray(sig[:, k]).view(np.int64), mask=np.diff(offsets) == 0) for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), *parts, pa.array(n.astype(np.int32))], names=["doc_id", "high", "low", "n_words"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, high long, low long, n_words int")
@@ -161,7 +168,7 @@ def near_edges(distinct: DataFrame, distance: int = DISTANCE, recall: float = RE
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, group_id, kept``: one row for each distinct (id, signature); group_id is the least id of its group, which is kept.
 
-    Rows with a null id, and texts without a word (null and empty ones), are no copies of anything: the
+    Rows with a null id, and null and empty texts, are no copies of anything: the
     former are left out, the latter are groups of their own. Equal signatures are one group.
     """
     sigs = shared.table(signatures(docs, id_col, text_col).where("doc_id is not null").select("doc_id", "high", "low"), "signatures")

@@ -134,3 +134,14 @@ def test_odd_rows(spark):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [1, 2, 3, 4, 7, 8] and kept.where("doc_id is null").count() == 2
     assert sorted(r.doc_id for r in S.keep_one(docs.where("doc_id = 5").unionByName(docs.where("doc_id = 7"))).collect()) == [5, 7]
     assert S.near_duplicates(docs.limit(0)).count() == 0 and S.keep_one(docs.limit(0)).count() == 0
+
+
+def test_numbers_symbols_and_unspaced_scripts(spark):
+    rng = random.Random(6)
+    han = "".join(chr(rng.randrange(0x4E00, 0x5200)) for _ in range(600))
+    near = "".join(chr(rng.randrange(0x4E00, 0x5200)) if k % 60 == 7 else c for k, c in enumerate(han))
+    other = "".join(rng.sample(han, len(han)))  # the same characters in another order
+    numbers = ["; ".join(str(rng.randrange(10**6)) for _ in range(50)) for _ in range(2)]
+    texts = ["invoice 1001 total 55", "invoice 2002 total 99", numbers[0], numbers[1], numbers[0], "!!! ???", "!!! ???", "***", han, near, other, "\u3002\u3001", "\u3002\u3001", "\U0001f600"]
+    out = {r.doc_id: r.group_id for r in S.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert out == {0: 0, 1: 1, 2: 2, 3: 3, 4: 2, 5: 5, 6: 5, 7: 7, 8: 8, 9: 8, 10: 10, 11: 11, 12: 11, 13: 13}
