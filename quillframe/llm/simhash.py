@@ -80,7 +80,8 @@ def chains(ring: np.ndarray, distance: int, chain: int = CHAIN) -> np.ndarray:
 def tables_for(n: int, distance: int = DISTANCE, recall: float = RECALL) -> list[np.ndarray]:
     """The sampled bit positions of each table for n signatures."""
     width = max(8, math.ceil(0.7 * math.log2(max(n, 2))))
-    tables = math.ceil(math.log(1 - recall) / math.log(1 - (1 - distance / BITS) ** width))
+    agree = math.comb(BITS - distance, width) / math.comb(BITS, width)  # positions are drawn without replacement
+    tables = math.ceil(math.log(1 - recall) / math.log(1 - agree))
     rng = np.random.default_rng(SEED)
     return [np.sort(rng.choice(BITS, width, replace=False)) for _ in range(tables)]
 

@@ -1,3 +1,4 @@
+import math
 import random
 from collections import defaultdict
 
@@ -46,6 +47,19 @@ def test_chains_lose_nothing_within_the_distance():
         assert (S.near(one, other, distance) == exact).all() and exact.any() and not exact.all()
 
 
+@pytest.mark.parametrize("n", [1000, 100_000, 1_000_000, 10_000_000])
+def test_tables_reach_the_recall_at_the_full_distance(n):
+    tables = S.tables_for(n)
+    rng = np.random.default_rng(8)
+    apart = np.argsort(rng.random((8000, S.BITS)), axis=1)[:, : S.DISTANCE]
+    differ = np.zeros((8000, S.BITS), bool)
+    np.put_along_axis(differ, apart, True, axis=1)
+    found = np.any([~differ[:, places].any(axis=1) for places in tables], axis=0).mean()
+    w = len(tables[0])
+    assert found >= S.RECALL - 0.015
+    assert (1 - math.comb(S.BITS - S.DISTANCE, w) / math.comb(S.BITS, w)) ** len(tables) <= 1 - S.RECALL + 1e-9
+
+
 def test_small_and_large_buckets_connect_alike():
     rng = np.random.default_rng(4)
     centre = rng.integers(0, 1 << 63, (3, 2)).astype(np.uint64)
