@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillframe.llm import shared
@@ -13,6 +13,13 @@ def _state(edges: DataFrame) -> tuple:
     return r["n"], r["x"]
 
 
+def _stars(edges: DataFrame, least: Column) -> DataFrame:
+    """u, v and the least of each u as m: added up in each task before it moves, so that the hub of a star is no hot key of the
+    aggregate, and joined by key, where adaptive execution splits such a hub.
+    """
+    return edges.join(edges.groupBy("u").agg(least.alias("m")), "u")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(u, v) of longs, any order and repeats, to (node, component): each node of an edge and the least node it connects to.
 
@@ -24,9 +31,8 @@ def components(edges: DataFrame) -> DataFrame:
     state = _state(current)
     while state[0]:
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        near = Window.partitionBy("u")
-        large = both.withColumn("m", F.least("u", F.min("v").over(near))).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = large.withColumn("m", F.min("v").over(near))
+        large = _stars(both, F.least("u", F.min("v"))).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = _stars(large, F.min("v"))
         small = small.select("u", F.col("m").alias("v")).unionByName(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
         current = shared.table(small, "edges")
         last, state = state, _state(current)

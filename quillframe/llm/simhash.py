@@ -2,12 +2,13 @@
 
 A document's signature has 128 bits: each bit is the majority, over its distinct words, of that bit of
 the words' hashes. Runs of letters and runs of digits are words; in scripts without spaces, neighbouring
-characters in twos are. A text without any word has a hash of itself as its signature. Two signatures are near if they differ in at most ``DISTANCE`` bits. Candidates share
-the bits at the positions sampled for one of several tables; the number of bits grows with the logarithm
-of the number of signatures, and the number of tables is what gives the target recall for pairs at the
-full distance, so that nearer pairs are found all but always. Candidate pairs then have to pass the
-pigeonring test (some chain of consecutive segments of the ring whose differences, added up along the
-chain, stay within the proportional budget at every step) before the full Hamming distance is taken.
+characters in twos are. A text without any word has a hash of itself as its signature. Two signatures are
+near if they differ in at most ``DISTANCE`` bits. Candidates share the bits at the positions sampled for one
+of several tables; the number of bits grows with the logarithm of the number of signatures, and the number of
+tables is what gives the target recall for pairs at the full distance, whatever the number of bits, so that
+nearer pairs are found all but always. Candidate pairs then have to pass the pigeonring test (some chain of
+consecutive segments of the ring whose differences, added up along the chain, stay within the proportional
+budget at every step) before the full Hamming distance is taken.
 
 Every pair in a bucket is looked at: there is no limit on its size. Only the edges of a spanning forest
 are kept of a bucket, so that output grows with documents, not with pairs; groups are the connected
@@ -31,6 +32,8 @@ from quillframe.llm.textblocks import LETTERS, blocks, distinct_per_document, mi
 
 BITS, SEGMENTS, CHAIN = 128, 16, 4
 DISTANCE, RECALL, SEED = 20, 0.9, 20240229
+#: Buckets up to this size leave all their edges; pairs that are handled at once, and rows that are matched together.
+SMALL, AT_ONCE, ROWS = 64, 1 << 14, 1 << 17
 
 
 def signatures_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -56,30 +59,62 @@ def signatures_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
 
 def near(one: np.ndarray, other: np.ndarray, distance: int) -> np.ndarray:
     """Whether pairs of signatures, row by row (or one against rows), are within the distance: chains first."""
-    ring = np.bitwise_count(np.ascontiguousarray(one ^ other).view(np.uint8))
-    passed = chains(ring, distance)
-    at = np.flatnonzero(passed)
-    passed[at] = ring[at].sum(axis=1) <= distance
+    differ = one ^ other
+    passed = np.zeros(len(differ), bool)
+    passed[within(np.ascontiguousarray(differ[:, 0]), np.ascontiguousarray(differ[:, 1]), distance)] = True
     return passed
 
 
-def chains(ring: np.ndarray, distance: int, chain: int = CHAIN) -> np.ndarray:
-    """The pigeonring test on (n, SEGMENTS) differences.
+def _bytes_of(value: int) -> np.uint64:
+    return np.uint64(value * 0x0101010101010101)
 
-    If they add up to at most ``distance``, some start has all of the sums over its first 1, 2, ... chain
-    segments within 1, 2, ... chain times distance / SEGMENTS: nothing within the distance is lost.
+
+_1, _2, _4, _8, _56, _ODD, _TWOS, _FOURS, _TOP = *(np.uint64(k) for k in (1, 2, 4, 8, 56)), _bytes_of(0x55), _bytes_of(0x33), _bytes_of(0x0F), _bytes_of(0x80)
+
+
+def _segment_counts(x: np.ndarray) -> np.ndarray:
+    """The number of ones in each byte."""
+    y = x >> _1
+    y &= _ODD
+    y = np.subtract(x, y, out=y)
+    x = y >> _2
+    x &= _TWOS
+    y &= _TWOS
+    y += x
+    y += np.right_shift(y, _4, out=x)
+    y &= _FOURS
+    return y
+
+
+def within(high: np.ndarray, low: np.ndarray, distance: int, chain: int = CHAIN) -> np.ndarray:
+    """Indexes of the differences (two words of bits) of at most ``distance`` ones, by the pigeonring principle.
+
+    The bytes of the two words are a ring of SEGMENTS segments. If they hold at most ``distance`` ones, some
+    start has all of the sums over its first 1, 2, ... ``chain`` segments within 1, 2, ... ``chain`` times
+    distance / SEGMENTS: nothing within the distance is lost. All starts go on by one segment at a time, eight
+    in a word; pairs without a start left are dropped on the way. The full distance is taken of those with a
+    whole chain.
     """
-    total = np.zeros(ring.shape, np.int16)
-    alive = np.ones(ring.shape, bool)
-    for k in range(chain):
-        total += np.roll(ring, -k, axis=1)
-        alive &= total <= (k + 1) * distance // SEGMENTS
-    return alive.any(axis=1)
+    at = None
+    ahead = [_segment_counts(high), _segment_counts(low)]
+    sums, over = [x.copy() for x in ahead], [0, 0]
+    for k in range(1, chain + 1):
+        if k > 1:
+            ahead = [(ahead[j] >> _8) | (ahead[1 - j] << _56) for j in (0, 1)]
+            for j in (0, 1):
+                sums[j] += ahead[j]
+        allowed = _bytes_of(127 - min(k * distance // SEGMENTS, 127 - 8 * k))  # the highest bit of a byte is set by a sum beyond
+        over = [o | (s + allowed) for o, s in zip(over, sums)]
+        if k > 1:  # most pairs have some segment of few differences, few have two in a row
+            left = np.flatnonzero((over[0] & over[1] & _TOP) != _TOP)
+            at = left if at is None else at[left]
+            sums, ahead, over = ([x[left] for x in both] for both in (sums, ahead, over))
+    return at[np.bitwise_count(high[at]) + np.bitwise_count(low[at]) <= distance]
 
 
 def tables_for(n: int, distance: int = DISTANCE, recall: float = RECALL) -> list[np.ndarray]:
     """The sampled bit positions of each table for n signatures."""
-    width = max(8, math.ceil(0.7 * math.log2(max(n, 2))))
+    width = max(8, math.ceil(0.8 * math.log2(max(n, 2))))  # pairs of a bucket and tables then grow alike, both about as n^0.2
     agree = math.comb(BITS - distance, width) / math.comb(BITS, width)  # positions are drawn without replacement
     tables = math.ceil(math.log(1 - recall) / math.log(1 - agree))
     rng = np.random.default_rng(SEED)
@@ -88,33 +123,48 @@ def tables_for(n: int, distance: int = DISTANCE, recall: float = RECALL) -> list
 
 def bucket_edges(sig: np.ndarray, ids: np.ndarray, keys: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges between near signatures with one key, keys sorted: all of small buckets, a spanning forest of large ones."""
-    n, left, right = len(keys), [], []
+    n, left, right = len(keys), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if n else np.zeros(0, np.int64)
     sizes = np.diff(np.append(starts, n))
-    small = np.repeat(sizes <= 64, sizes)
-    at = np.flatnonzero(small)
-    for gap in range(1, 64):
-        at = at[at + gap < n]
-        at = at[keys[at] == keys[at + gap]]
-        if not len(at):
-            break
-        for part in np.array_split(at, -(-len(at) // 100_000)):
-            hit = part[near(sig[part], sig[part + gap], distance)]
-            left.append(ids[hit])
-            right.append(ids[hit + gap])
-    for s, size in zip(starts[sizes > 64].tolist(), sizes[sizes > 64].tolist()):
-        open_, front = np.arange(s + 1, s + size), [s]
-        while len(open_):
-            if not front:
-                front, open_ = [int(open_[0])], open_[1:]
-            k = front.pop()
-            hit = np.concatenate([np.zeros(0, bool), *(near(sig[k][None, :], sig[part], distance) for part in np.array_split(open_, -(-len(open_) // 100_000) or 1))])
-            found = open_[hit]
-            left.append(np.full(len(found), ids[k]))
-            right.append(ids[found])
-            front += found.tolist()
-            open_ = open_[~hit]
-    return np.concatenate([np.zeros(0, np.int64), *left]), np.concatenate([np.zeros(0, np.int64), *right])
+    high, low = (np.ascontiguousarray(sig[:, k]) for k in (0, 1))
+    for size in np.unique(sizes[(sizes > 1) & (sizes <= SMALL)]).tolist():  # buckets of one size have their pairs at the same places
+        one, other = np.triu_indices(size, 1)
+        of_size = starts[sizes == size]
+        for part in np.array_split(of_size, -(-len(of_size) * len(one) // AT_ONCE)):
+            u, v = ((part[:, None] + places).ravel() for places in (one, other))
+            hit = within(high[u] ^ high[v], low[u] ^ low[v], distance)
+            left.append(ids[u[hit]])
+            right.append(ids[v[hit]])
+    for s, size in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
+        u, v = _forest(high[s : s + size], low[s : s + size], distance)
+        left.append(ids[s + u])
+        right.append(ids[s + v])
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _forest(high: np.ndarray, low: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a spanning forest of the near pairs of one bucket; every pair is looked at, some rows at a time."""
+    n = len(high)
+    label, kept = np.arange(n), []
+    rows = max(1, AT_ONCE // n)
+    for a in range(0, n - 1, rows):
+        b = min(a + rows, n)
+        hit = within((high[a:b, None] ^ high[None, a:]).ravel(), (low[a:b, None] ^ low[None, a:]).ravel(), distance)
+        u, v = a + hit // (n - a), a + hit % (n - a)
+        while len(u):
+            one, other = np.minimum(label[u], label[v]), np.maximum(label[u], label[v])
+            apart = one < other
+            u, v, one, other = u[apart], v[apart], one[apart], other[apart]
+            # the greater label of an edge hangs under the lesser: each hangs once a turn, so no circle comes about
+            other, first = np.unique(other, return_index=True)
+            kept.append((u[first], v[first]))
+            under = np.arange(n)
+            under[other] = one[first]
+            while (deeper := under[under] != under).any():
+                under[deeper] = under[under[deeper]]
+            label = under[label]
+    u, v = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*kept) if kept else ((), ())))
+    return u, v
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -144,6 +194,7 @@ def near_edges(distinct: DataFrame, distance: int = DISTANCE, recall: float = RE
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        n = 0
 
         def edges(key, rep, high, low):
             u, v = bucket_edges(np.stack([high, low], axis=1).view(np.uint64), rep, key, distance)
@@ -153,12 +204,13 @@ def near_edges(distinct: DataFrame, distance: int = DISTANCE, recall: float = RE
             if not len(batch):
                 continue
             held.append(tuple(batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)))
-            if held[0][0][0] == held[-1][0][-1]:
-                continue  # one bucket so far
+            n += len(batch)
+            if n < ROWS or held[0][0][0] == held[-1][0][-1]:
+                continue  # few rows, or one bucket so far
             parts = tuple(map(np.concatenate, zip(*held)))
             cut = int(np.searchsorted(parts[0], parts[0][-1]))
             yield edges(*(x[:cut] for x in parts))
-            held = [tuple(x[cut:] for x in parts)]
+            held, n = [tuple(x[cut:] for x in parts)], len(parts[0]) - cut
         if held:
             yield edges(*map(np.concatenate, zip(*held)))
 
