@@ -44,7 +44,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return site_templates.extract_text(_table(spark, sf_dir, "pages"))
+    return site_templates.extract_text(_table(spark, sf_dir, "pages"), min_share=0.02)
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,16 +1,20 @@
 """HTML extraction by site template removal.
 
-Each page is parsed into elements (tags left open are closed as browsers do for the common cases); an
-element's subtree is hashed by its source with runs of white space as one space. Spark counts on how many pages of a host each
-subtree recurs; those on many pages are deleted from every page of that host, the outermost first, and
-the text of what is left is extracted. Pages and their subtrees meet by (host, hash) and then by page, so
-that no host's templates need to fit anywhere together and a large host is no hot key.
+Each page is parsed into elements (tags left open are closed as browsers do for the common cases), in time
+linear in its length, however deep its elements and however its quotes and tags are left open. An element's
+subtree is hashed from its own source, runs of white space as one space, and the hashes of its children.
+Spark counts on how many pages of a host each subtree recurs; those on many pages are deleted from every page
+of that host, the outermost first, and the text of what is left is extracted. Pages and their subtrees meet by
+(host, hash) and then by page, so that no host's templates need to fit anywhere together and a large host is
+no hot key.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,7 +27,8 @@ from quillframe.llm import shared
 #: A subtree is a template from so many pages of its host on; shorter subtrees are left alone.
 MIN_PAGES, MIN_CHARS = 5, 24
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)(?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.S)
+_TOKEN = re.compile(r"<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*+>?|(/?)([a-zA-Z][^\s/>]*+)(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(>?))", re.S)
+_NAME_END, _SPECIAL = re.compile(r"[\s/>]"), re.compile(r"[>\"']")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title".split())
 _HIDDEN = frozenset("head script style template noscript".split())
@@ -41,76 +46,173 @@ def collapse(source: str) -> str:
     return _SPACE.sub(" ", source)
 
 
-def parse(source: str) -> tuple[list[tuple[str, int, int]], list[tuple[int, int, str]]]:
-    """(name, start, end) of the elements in the order of their starts, and (start, end, name) of the markup.
+class _OpenTags:
+    """Tokens of a source in which some tag has no end; such a tag is text from its ``<`` on, the next one is tried.
 
-    Elements left open end with their parent. An end tag without a start is only markup.
+    A try that fails would fail from every quote on that it came past: those are remembered, and each is
+    passed once at most.
     """
+
+    def __init__(self, source: str) -> None:
+        self.source = source
+        self.special = [m.start() for m in _SPECIAL.finditer(source)]
+        self.name_end, self.dead = -1, set()
+
+    def _end(self, at: int) -> int:
+        """Behind the ``>`` of the tag whose name ends at ``at``; -1 without one."""
+        source, passed = self.source, []
+        k = bisect_left(self.special, at)
+        while k < len(self.special):
+            q = self.special[k]
+            if source[q] == ">":
+                return q + 1
+            if q in self.dead:
+                break
+            passed.append(q)
+            close = source.find(source[q], q + 1)
+            if close < 0:
+                break
+            k = bisect_left(self.special, close + 1, k)
+        self.dead.update(passed)
+        return -1
+
+    def next(self, at: int) -> tuple[int, int, str, str] | None:
+        source = self.source
+        while (m := _TOKEN_START.search(source, at)) is not None:
+            if m[2] is None:
+                m = _TOKEN.match(source, m.start())
+                return m.start(), m.end(), "", ""
+            at = m.end()
+            if self.name_end < at:
+                found = _NAME_END.search(source, at)
+                self.name_end = found.start() if found else len(source)
+            end = self._end(self.name_end)
+            if end >= 0:
+                return m.start(), end, m[1], source[m.start(2) : self.name_end]
+        return None
+
+
+_TOKEN_START = re.compile(r"<(?:[!?]|(/?)([a-zA-Z]))")
+
+
+def _tokens(source: str, at: int) -> Iterator[tuple[int, int, str, str]]:
+    """(start, end, slash, name) of the markup; the place to go on from may be sent back."""
+    while m := _TOKEN.search(source, at):
+        if m[2] is not None and not m[3]:
+            break
+        at = m.end()
+        at = (yield m.start(), at, m[1] or "", m[2] or "") or at
+    if m:
+        rest, at = _OpenTags(source), m.start()
+        while (found := rest.next(at)) is not None:
+            at = (yield found) or found[1]
+
+
+def _elements(source: str, hashed: bool) -> tuple[list[list], list[tuple[int, int, str]]]:
+    """[name, start, end, hash] of the elements in the order of their starts, and (start, end, name) of the markup."""
     elements: list[list] = []
     markup: list[tuple[int, int, str]] = []
     stack: list[int] = []
-    at, n = 0, len(source)
+    hashes: list = []  # of the open elements
+    open_: defaultdict[str, list[int]] = defaultdict(list)  # depths of the open elements of a name
+    walls: list[int] = []
+    n, mark = len(source), 0  # what stands from mark on isn't hashed yet
+
+    def feed(stop: int) -> None:
+        nonlocal mark
+        if hashes and stop > mark:
+            hashes[-1].update(source[mark:stop].encode("utf-8", "surrogatepass"))
+        mark = max(mark, stop)
+
+    def told(element: list, digest: int) -> None:
+        element[3] = digest - (1 << 63)
+        if hashes:
+            hashes[-1].update(b"\xff" + digest.to_bytes(8, "little"))  # no byte of a text is 0xff
 
     def close(down_to: int, where: int) -> None:
         while len(stack) > down_to:
-            elements[stack.pop()][2] = where
-
-    while m := _TOKEN.search(source, at):
-        at = m.end()
-        name = (m[2] or "").lower()
-        markup.append((m.start(), at, name if not m[1] else "/" + name))
-        if not name:
-            continue
-        if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if elements[stack[k]][0] == name:
-                    close(k + 1, m.start())
-                    elements[stack.pop()][2] = at
-                    break
-            continue
-        shut = _CLOSES.get(name)
-        if shut:
-            for k in range(len(stack) - 1, -1, -1):
-                open_ = elements[stack[k]][0]
-                if open_ in shut:
-                    close(k, m.start())
-                    break
-                if open_ in _WALL:
-                    break
-        elements.append([name, m.start(), at])
-        if name in _VOID or source[at - 2] == "/":
-            continue
-        if name in _RAW:
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
-            stop, at = (end.start(), end.end()) if end else (n, n)
-            elements[-1][2] = at
-            markup.append((stop, at, "/" + name))
-            continue
-        stack.append(len(elements) - 1)
+            element = elements[stack.pop()]
+            element[2] = where
+            open_[element[0]].pop()
+            if element[0] in _WALL:
+                walls.pop()
+            if hashed:
+                feed(where)
+                told(element, hashes.pop().intdigest())
+
+    tokens = _tokens(source, 0)
+    found = next(tokens, None)
+    while found is not None:
+        start, at, slash, name = found
+        name = name.lower()
+        markup.append((start, at, slash + name))
+        go_on = None
+        if slash:
+            if depths := open_[name]:
+                close(depths[-1] + 1, start)
+                close(depths[-1], at)
+        elif name:
+            if shut := _CLOSES.get(name):
+                depth = max((open_[x][-1] for x in shut if open_[x]), default=-1)
+                if depth >= 0 and depth >= (walls[-1] if walls else -1):
+                    close(depth, start)
+            element = [name, start, at, 0]
+            elements.append(element)
+            if name in _VOID or source[at - 2] == "/" or name in _RAW:
+                if name in _RAW and name not in _VOID and source[at - 2] != "/":
+                    end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
+                    stop, go_on = (end.start(), end.end()) if end else (n, n)
+                    element[2] = go_on
+                    markup.append((stop, go_on, "/" + name))
+                if hashed:
+                    feed(start)
+                    told(element, xxhash.xxh64_intdigest(source[start : element[2]].encode("utf-8", "surrogatepass")))
+                    mark = element[2]
+            else:
+                if hashed:
+                    feed(start)
+                    hashes.append(xxhash.xxh64())
+                open_[name].append(len(stack))
+                if name in _WALL:
+                    walls.append(len(stack))
+                stack.append(len(elements) - 1)
+        try:
+            found = tokens.send(go_on)
+        except StopIteration:
+            found = None
     close(0, n)
-    return [tuple(e) for e in elements], markup
+    return elements, markup
 
 
-def subtree_hashes(source: str) -> list[tuple[int, int, int]]:
-    """(start, end, hash) of the elements that can be templates: not html, head and body, and not short."""
-    source = collapse(source)
-    return [(a, b, _hash(source[a:b])) for name, a, b in parse(source)[0] if b - a >= MIN_CHARS and name not in ("html", "head", "body")]
+def parse(source: str) -> tuple[list[tuple[str, int, int]], list[tuple[int, int, str]]]:
+    """(name, start, end) of the elements in the order of their starts, and (start, end, name) of the markup.
 
+    Elements left open end with their parent. An end tag without a start is only markup. A tag without an end,
+    as one with an open quote, is text.
+    """
+    elements, markup = _elements(source, False)
+    return [(name, a, b) for name, a, b, _ in elements], markup
+
+
+def _can_go(name: str, length: int, min_chars: int) -> bool:
+    return length >= min_chars and name not in ("html", "head", "body")
 
-def _hash(source: str) -> int:
-    return xxhash.xxh64_intdigest(source.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+def subtree_hashes(source: str, min_chars: int = MIN_CHARS) -> list[tuple[int, int, int]]:
+    """(start, end, hash) of the elements that can be templates: not html, head and body, and not short."""
+    return [(a, b, h) for name, a, b, h in _elements(collapse(source), True)[0] if _can_go(name, b - a, min_chars)]
 
 
-def extract(source: str, templates: set[int]) -> tuple[str, int]:
+def extract(source: str, templates: set[int], min_chars: int = MIN_CHARS) -> tuple[str, int]:
     """The text without the outermost subtrees whose hash is a template, and how many those were."""
     source = collapse(source)
-    elements, markup = parse(source)
+    elements, markup = _elements(source, bool(templates))
     gone, removed, end = [], 0, -1
-    for name, a, b in elements:
+    for name, a, b, h in elements:
         if a < end:
             continue
         hidden = name in _HIDDEN
-        if hidden or (templates and b - a >= MIN_CHARS and name not in ("html", "head", "body") and _hash(source[a:b]) in templates):
+        if hidden or (templates and h in templates and _can_go(name, b - a, min_chars)):
             gone.append((a, b))
             removed += not hidden
             end = b
@@ -140,8 +242,8 @@ def host_of(url: Column) -> Column:
     return F.when(host != "", host)
 
 
-def templates(pages: DataFrame, min_pages: int = MIN_PAGES) -> tuple[DataFrame, DataFrame]:
-    """All (page_key, host, hash), and (host, hash, n_pages) of those that recur on at least min_pages pages.
+def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_chars: int = MIN_CHARS, min_share: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """All (page_key, host, hash), and (host, hash, n_pages) of those on min_pages pages and ``min_share`` of the host's pages at least.
 
     pages: page_key, host, html. Several rows of one page count once.
     """
@@ -152,7 +254,7 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES) -> tuple[DataFrame,
                 part = batch.slice(k, 256)
                 keys, hosts, found = [], [], []
                 for key, host, source in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist()):
-                    own = {h for *_, h in subtree_hashes(source)}
+                    own = {h for *_, h in subtree_hashes(source, min_chars)}
                     keys += [key] * len(own)
                     hosts += [host] * len(own)
                     found += own
@@ -161,20 +263,24 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES) -> tuple[DataFrame,
     nodes = pages.where("html is not null and host is not null").select("page_key", "host", "html").mapInArrow(run, "page_key long, host string, hash long")
     nodes = shared.table(nodes, "nodes")
     counts = nodes.distinct().groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n_pages")).where(F.col("n_pages") >= min_pages)
+    if min_share > 0:
+        hosts = pages.where("html is not null and host is not null").groupBy("host").agg(F.count_distinct("page_key").alias("_all"))
+        counts = counts.join(hosts, "host").where(F.col("n_pages") >= F.col("_all") * min_share).select("host", "hash", "n_pages")
     return nodes, counts
 
 
-def extract_text(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+def extract_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_chars: int = MIN_CHARS, min_share: float = 0.0) -> DataFrame:
     """``page_id, host, text, n_removed``: one row for each row of pages (page_id, url, html).
 
-    n_removed counts the deleted subtrees. A null html has a null text; an empty one an empty text. Pages
+    A subtree of at least ``min_chars`` characters is a template of its host from ``min_pages`` of its pages on, if those are
+    ``min_share`` of all its pages at least: on a large host a few copies of an article aren't one. n_removed counts the deleted subtrees. A null html has a null text; an empty one an empty text. Pages
     whose url has no host keep everything, and so do hosts with fewer than ``min_pages`` pages. Rows are told apart
     by id and content: repeated rows, and rows with one id or a null one, each give their own row, and equal ones count
     as one page.
     """
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url").cast("string")).alias("host"), F.col("html").cast("string").alias("html"))
     base = base.withColumn("page_key", F.xxhash64("page_id", "host", "html"))
-    nodes, counts = templates(base, min_pages)
+    nodes, counts = templates(base, min_pages, min_chars, min_share)
     counts = shared.table(counts, "templates")
     per_page = nodes.join(counts, ["host", "hash"]).groupBy("page_key").agg(F.collect_set("hash").alias("hashes"))
 
@@ -182,7 +288,7 @@ def extract_text(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
         for batch in batches:
             for k in range(0, len(batch), 256):
                 part = batch.slice(k, 256)
-                got = [(None, None) if source is None else extract(source, set(hashes or ())) for source, hashes in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
+                got = [(None, None) if source is None else extract(source, set(hashes or ()), min_chars) for source, hashes in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([t for t, _ in got], pa.string()), pa.array([r for _, r in got], pa.int32())], names=["page_id", "host", "text", "n_removed"])
 
     joined = base.join(per_page, "page_key", "left").select("page_id", "host", "html", "hashes")

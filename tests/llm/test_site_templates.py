@@ -1,4 +1,5 @@
 import random
+import time
 from collections import defaultdict
 from html.parser import HTMLParser
 
@@ -93,3 +94,40 @@ def test_odd_rows(spark):
     assert [(r.text, r.n_removed) for r in got if r.page_id == 1] == [(None, None)] and [r.text for r in got if r.page_id == 2] == [""]
     assert all(r.n_removed == 0 for r in got if r.page_id == 5)  # six copies of one page are one page
     assert T.extract_text(frame(spark, [])).count() == 0
+
+
+LONG = {
+    "open quotes": "<a href=\"x' '" * 70_000, "quotes in turn": "<a \"'<b '\" " * 90_000, "no tag ends": "<a " * 330_000, "names without end": "<a" * 500_000,
+    "nested": "<div>" * 50_000 + "x" + "</div>" * 50_000, "ends of nothing": "<div>" * 50_000 + "</span>" * 50_000, "cells in no table": "<span>" * 50_000 + "<td></td>" * 50_000,
+}
+
+
+@pytest.mark.parametrize("name", LONG)
+def test_time_is_linear(name):
+    seconds = []
+    for share in (4, 1):
+        s = LONG[name][: len(LONG[name]) // share] if name not in ("nested", "ends of nothing", "cells in no table") else LONG[name].replace("<div>" * 50_000, "<div>" * (50_000 // share)).replace("<span>" * 50_000, "<span>" * (50_000 // share))
+        began = time.process_time()
+        T.subtree_hashes(s)
+        seconds.append(time.process_time() - began)
+    assert seconds[1] < 10 and seconds[1] < 12 * seconds[0] + 1  # quadratic time would be minutes
+
+
+def test_subtrees_have_one_hash_if_they_have_one_source():
+    rng = random.Random(3)
+    bits = ["<p>", "<div>", "</div>", "</p>", "<b>", "</b>", "text ", "<li>", "<ul>", "</ul>", "<td>", "<br>", "<script>", "</script>", "<!-- c -->", "<a href='y>z'>", "</a>", "<", '"', "&amp;"]
+    of_hash, of_source = {}, {}
+    for _ in range(4000):
+        s = "".join(rng.choice(bits) for _ in range(rng.randrange(60)))
+        for a, b, h in T.subtree_hashes(s, 0):
+            part = T.collapse(s)[a:b]
+            assert of_hash.setdefault(h, part) == part and of_source.setdefault(part, h) == h
+    assert len(of_hash) > 5000
+
+
+def test_short_subtrees_and_shares_are_parameters(spark):
+    rows = [(k, f"https://a.example/{k}", f"<ul><li>Home</li><li>own {k}</li></ul><p>{'a paragraph that few pages repeat' if k < 6 else f'other words of page {k} alone'}</p>") for k in range(100)]
+    removed = lambda **x: {r.page_id: r.n_removed for r in T.extract_text(frame(spark, rows), **x).collect()}
+    assert removed() == {k: int(k < 6) for k in range(100)}
+    assert removed(min_share=0.1) == dict.fromkeys(range(100), 0)
+    assert removed(min_share=0.1, min_chars=8) == dict.fromkeys(range(100), 1)
