@@ -1,11 +1,19 @@
-"""Benchmark decontamination: exact edit-distance search by unedited parts.
+"""Benchmark decontamination: edit-distance search by CGK embedding and bit-sampling LSH.
 
 Texts are sequences of words (case folded): runs of letters, runs of digits, and each character of a
-script without spaces. An item that may have k edits is cut into k + 1
-parts of equal length, give or take a word: wherever it occurs within k edits, one part at least is there
-unedited, at most k words from where the item's start says. So each run of words of a document that is
-some item's part makes that item a candidate at one place, and none is lost. Candidates then have to have
-enough of the item's words about that place before exact edit distance decides.
+script without spaces. The CGK random walk maps a sequence to a longer one: at each step it writes the word
+that it stands on and moves on or stays, as a random function of step and word says. Sequences at a small
+edit distance fall into step again, so that their embeddings are at a small Hamming distance. The
+embeddings of item-sized windows of the documents and of the items are sampled at a few steps for each of
+several tables; a window that agrees with an item on all the steps of one table is a candidate, which
+exact edit distance then decides. Whether two sequences fall into step again is luck of the walk, and the more
+edits the less likely: there are several independent walks, each with its tables, and as many of both as
+reach the recall at the largest number of edits, whatever the item's length.
+
+Windows of real texts are far too many to walk them all, so those are passed over that can't hold any item,
+without loss: an item that may have k edits is cut into k + 1 parts, of which one at least is unedited in
+any match, at most k words from where the item's start says; and all but k of its words are there. Where
+no part of an item is, or too few of its words are, no window of its size begins.
 
 Items are few and sent to all workers in slices of bounded size; more items mean more slices.
 """
@@ -25,9 +33,12 @@ from quillframe.llm.textblocks import blocks, mix64, text_words
 
 #: Edits an item may have, as a share of its words; items of fewer words are left out unless min_words says otherwise.
 EDIT_RATE, MIN_WORDS = 0.2, 5
+#: Independent walks, tables of each, and steps sampled for a table: over 0.99 of the items at their most edits are found.
+WALKS, TABLES, SAMPLED = 8, 16, 2
 #: Words of a part that are looked up; candidates (and words of their windows) that are handled at once.
 PART_WORDS, AT_ONCE = 8, 1 << 20
-SLICE_ITEMS = 20_000
+#: Items of a slice, and characters of their texts.
+SLICE_ITEMS, SLICE_CHARS = 20_000, 8 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -43,12 +54,23 @@ class Parts:
     seen: np.ndarray  # bitmap of the first bits of the keys
 
 
+@dataclass(frozen=True)
+class Tables:
+    """The sampled embeddings of all items of one number of words: keys of all tables in order, with their items."""
+
+    size: int
+    steps: np.ndarray  # walk, table, sample
+    keys: np.ndarray
+    items: np.ndarray
+
+
 @dataclass(frozen=True)
 class Items:
     ids: np.ndarray
     words: list[np.ndarray]
     edits: np.ndarray  # the most that each may have
     parts: list[Parts]
+    tables: dict[int, Tables]  # by number of words
 
 
 def run_hashes(words: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -60,8 +82,55 @@ def run_hashes(words: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarra
         yield length, h
 
 
+def embed(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, steps: int) -> np.ndarray:
+    """What the walks from ``starts`` write: step, walk, start. Past its end a walk writes 0."""
+    movers = mix64(np.arange(1, WALKS * steps + 1, dtype=np.uint64).reshape(steps, WALKS) * _STEP) | np.uint64(1)
+    padded = np.append(words, np.zeros(1, np.uint64))
+    at, out = np.tile(starts, (WALKS, 1)), np.empty((steps, WALKS, len(starts)), np.uint64)
+    for j in range(steps):
+        here = padded[np.where(at < ends, at, len(words))]
+        out[j] = here
+        at += ((here * movers[j][:, None]) >> np.uint64(63)).astype(at.dtype)
+    return out
+
+
+def sampled_steps(size: int) -> np.ndarray:
+    """walk x table x sample of the steps on which the tables for items of ``size`` words agree."""
+    rng = np.random.default_rng(size)
+    places = np.argsort(rng.random((WALKS, TABLES, walk_length(size))), axis=2)[:, :, :SAMPLED]
+    return np.sort(places, axis=2)
+
+
+def walk_length(size: int) -> int:
+    """Steps of a walk that hardly ever comes to the end of ``size`` words; it stays on a word for two steps on the average."""
+    return max(SAMPLED, 2 * size - size // 2)
+
+
+def table_keys(words: np.ndarray, starts: np.ndarray, size: int, ends: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """A key for each table (of all walks) and start: the table's number and what was written at its steps."""
+    written = embed(words, starts, np.minimum(starts + size, ends), walk_length(size))
+    walk = np.arange(WALKS)[:, None]
+    keys = np.broadcast_to(mix64(np.arange(1, WALKS * TABLES + 1, dtype=np.uint64) * _STEP).reshape(WALKS, TABLES, 1), (WALKS, TABLES, len(starts)))
+    for k in range(SAMPLED):
+        keys = mix64(keys * _STEP + written[steps[:, :, k], walk])
+    return keys.reshape(WALKS * TABLES, len(starts))
+
+
+def make_tables(words: list[np.ndarray]) -> dict[int, Tables]:
+    by_size: dict[int, list[int]] = {}
+    for k, w in enumerate(words):
+        by_size.setdefault(len(w), []).append(k)
+    tables = {}
+    for size, members in by_size.items():
+        steps, at = sampled_steps(size), np.arange(len(members)) * size
+        keys = table_keys(np.concatenate([words[k] for k in members]), at, size, at + size, steps)
+        order = np.argsort(keys, axis=None, kind="stable")
+        tables[size] = Tables(size, steps, keys.ravel()[order], np.tile(np.array(members, np.int32), len(keys))[order])
+    return tables
+
+
 def prepare(rows: list[tuple[int, str]], rate: float = EDIT_RATE, min_words: int = MIN_WORDS) -> Items:
-    """Items as hashed words, with the parts of which one is unedited in any match."""
+    """Items as hashed words, with the parts of which one is unedited in any match, and the tables of their embeddings."""
     if not 0 <= rate < 1:
         raise ValueError("rate must be a share of the words, under 1")
     ids, words = [], []
@@ -85,7 +154,7 @@ def prepare(rows: list[tuple[int, str]], rate: float = EDIT_RATE, min_words: int
         seen = np.zeros(1 << bits, bool)
         seen[(keys >> np.uint64(64 - bits)).astype(np.int64)] = True
         parts.append(Parts(length, keys[order], np.array([k for _, k, _ in made])[order], np.array([x for _, _, x in made])[order], bits, seen))
-    return Items(ids, words, edits, parts)
+    return Items(ids, words, edits, parts, make_tables(words))
 
 
 def best_edits(item: np.ndarray, texts: np.ndarray) -> np.ndarray:
@@ -124,24 +193,57 @@ def candidates(words: np.ndarray, bounds: np.ndarray, items: Items) -> Iterator[
             yield pair[:, 0], pair[:, 1], pair[:, 2]
 
 
+def places(words: np.ndarray, bounds: np.ndarray, items: Items) -> dict[int, np.ndarray]:
+    """Where windows begin that may hold an item, by the item's number of words: (start, document) rows, none lost."""
+    found: dict[int, list[np.ndarray]] = {}
+    for doc, starts, item in candidates(words, bounds, items):
+        order = np.argsort(item, kind="stable")
+        for group in np.split(order, np.flatnonzero(np.diff(item[order])) + 1):
+            own, allowed = items.words[k := int(item[group[0]])], int(items.edits[k])
+            sorted_own = np.sort(own)
+            for part in np.array_split(group, -(-len(group) * (len(own) + 2 * allowed) // AT_ONCE)):
+                texts = _window(words, bounds, doc[part], starts[part], len(own), allowed)
+                # all but the edited words of the item are in the window
+                likely = (sorted_own[np.minimum(np.searchsorted(sorted_own, texts), len(own) - 1)] == texts).sum(axis=1) >= len(own) - allowed
+                found.setdefault(len(own), []).append(np.stack([starts[part], doc[part]], axis=1)[likely])
+    return {size: np.unique(np.concatenate(x), axis=0) for size, x in found.items()}
+
+
+def _window(words: np.ndarray, bounds: np.ndarray, doc: np.ndarray, starts: np.ndarray, size: int, more: int) -> np.ndarray:
+    """The words from ``more`` before each start to ``more`` behind the window's end; 0 outside of the document."""
+    columns = starts[:, None] + np.arange(-more, size + more)[None, :]
+    inside = (columns >= bounds[doc][:, None]) & (columns < bounds[doc + 1][:, None])
+    return np.where(inside, words[np.clip(columns, 0, len(words) - 1)], np.uint64(0))
+
+
+def embedded(words: np.ndarray, bounds: np.ndarray, starts: np.ndarray, doc: np.ndarray, tables: Tables) -> np.ndarray:
+    """(row of starts, item) pairs that agree in some table."""
+    pairs = [np.zeros((0, 2), np.int64)]
+    for part in np.array_split(np.arange(len(starts)), -(-len(starts) * tables.size * 2 * WALKS // AT_ONCE) or 1):
+        # a window may begin before its document does, if an item's first words are missing there
+        keys = table_keys(words, np.maximum(starts[part], bounds[doc[part]]), tables.size, bounds[doc[part] + 1], tables.steps)
+        low, high = np.searchsorted(tables.keys, keys), np.searchsorted(tables.keys, keys, "right")
+        at = np.flatnonzero((high > low).ravel())
+        low, n = low.ravel()[at], (high - low).ravel()[at]
+        slot = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+        pairs.append(np.unique(np.stack([part[np.repeat(at % len(part), n)], tables.items[slot]], axis=1), axis=0))
+    return np.concatenate(pairs)
+
+
 def matches(data: np.ndarray, offsets: np.ndarray, items: Items) -> list[tuple[int, int, int, int]]:
     """(document, item, edits, first word of the window): the best of each pair, the first of equal ones."""
     words, bounds, _ = text_words(data, offsets)
     best: dict[tuple[int, int], tuple[int, int]] = {}
-    for doc, starts, found in candidates(words, bounds, items):
-        order = np.argsort(found, kind="stable")
-        for group in np.split(order, np.flatnonzero(np.diff(found[order])) + 1):
-            k = int(found[group[0]])
-            item, allowed = items.words[k], int(items.edits[k])
-            own = np.sort(item)
-            for part in np.array_split(group, -(-len(group) * (len(item) + 2 * allowed) // AT_ONCE)):
-                columns = starts[part][:, None] + np.arange(-allowed, len(item) + allowed)[None, :]
-                inside = (columns >= bounds[doc[part]][:, None]) & (columns < bounds[doc[part] + 1][:, None])
-                texts = np.where(inside, words[np.clip(columns, 0, len(words) - 1)], np.uint64(0))
-                # all but the edited words of the item are in the window
-                likely = (own[np.minimum(np.searchsorted(own, texts), len(own) - 1)] == texts).sum(axis=1) >= len(item) - allowed
-                part, texts = part[likely], texts[likely]
-                for j, edits in zip(part.tolist(), best_edits(item, texts).tolist() if len(part) else []):
+    for size, at in places(words, bounds, items).items():
+        starts, doc = at[:, 0], at[:, 1]
+        pairs = embedded(words, bounds, starts, doc, items.tables[size])
+        order = np.argsort(pairs[:, 1], kind="stable")
+        for group in np.split(order, np.flatnonzero(np.diff(pairs[order, 1])) + 1):
+            if not len(group):
+                continue
+            item, allowed = items.words[k := int(pairs[group[0], 1])], int(items.edits[k])
+            for part in np.array_split(pairs[group, 0], -(-len(group) * (size + 2 * allowed) // AT_ONCE)):
+                for j, edits in zip(part.tolist(), best_edits(item, _window(words, bounds, doc[part], starts[part], size, allowed)).tolist()):
                     if edits <= allowed:
                         pair, value = (int(doc[j]), k), (edits, max(int(starts[j] - bounds[doc[j]]), 0))
                         best[pair] = min(best.get(pair, value), value)
@@ -151,12 +253,13 @@ def matches(data: np.ndarray, offsets: np.ndarray, items: Items) -> list[tuple[i
 def _slices(benchmark: DataFrame, item_col: str, text_col: str, slice_items: int, rate: float, min_words: int):
     """Prepared items in slices, each broadcast; null ids and texts are left out."""
     rows = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where("i is not null and t is not null")
-    sc, held = benchmark.sparkSession.sparkContext, []
+    sc, held, size = benchmark.sparkSession.sparkContext, [], 0
     for r in rows.orderBy("i", "t").toLocalIterator():
         held.append((r["i"], r["t"]))
-        if len(held) == slice_items:
+        size += len(r["t"])
+        if len(held) == slice_items or size >= SLICE_CHARS:
             yield sc.broadcast(prepare(held, rate, min_words))
-            held = []
+            held, size = [], 0
     yield sc.broadcast(prepare(held, rate, min_words))
 
 

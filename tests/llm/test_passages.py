@@ -154,3 +154,27 @@ def test_short_numeric_and_unspaced_items_are_found(spark):
     got = {(r.doc_id, r.item_id, r.edits) for r in D.contaminated(docs, items, min_words=1).collect()}
     assert got == {(0, 0, 0), (1, 1, 0), (2, 2, 0), (3, 3, 0), (4, 4, 0), (7, 3, 1)}
     assert {r.doc_id for r in D.keep_uncontaminated(docs, items, min_words=1).collect()} == {5, 6}
+
+
+def test_the_walks_of_near_sequences_agree_and_of_others_do_not():
+    rng = np.random.default_rng(5)
+    words = [rng.integers(1, 1 << 63, 60).astype(np.uint64) for _ in range(80)]
+    tables = D.make_tables(words)[60]
+    found = 0
+    for k, w in enumerate(words):
+        copy = np.delete(w, rng.choice(60, 6, replace=False))
+        copy[rng.choice(len(copy), 6, replace=False)] = rng.integers(1, 1 << 63, 6).astype(np.uint64)
+        pairs = D.embedded(copy, np.array([0, len(copy)]), np.array([0]), np.array([0]), tables)
+        assert {j for _, j in pairs.tolist()} <= {k}  # nothing of other items
+        found += len(pairs) > 0
+    assert found >= 78
+    assert len(D.embedded(rng.integers(1, 1 << 63, 60).astype(np.uint64), np.array([0, 60]), np.array([0]), np.array([0]), tables)) == 0
+
+
+def test_the_rate_holds_for_the_search_and_numbers_tell_items_apart(spark):
+    item = [f"w{chr(97 + k)}x" for k in range(20)]
+    copy = [("other" + chr(97 + k) if k % 3 == 1 else w) for k, w in enumerate(item)]  # seven substitutions
+    items = spark.createDataFrame([(1, " ".join(item)), (2, "Tom has 12 apples and buys 7 more")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, " ".join(copy)), (2, "Tom has 900 apples and buys 41 more"), (3, "Tom has 12 apples and buys 7 more")], "doc_id long, text string")
+    assert [(r.doc_id, r.item_id, r.edits) for r in D.contaminated(docs, items).collect()] == [(3, 2, 0)]
+    assert {(r.doc_id, r.item_id, r.edits) for r in D.contaminated(docs, items, rate=0.4).collect()} == {(1, 1, 7), (2, 2, 2), (3, 2, 0)}
