@@ -118,8 +118,12 @@ def replace_paragraph_runs(spark: SparkSession, path: str, runs: DataFrame, outp
     _save(D.replace_runs(_parts(spark, path), runs), output)
 
 
-def translate(spark: SparkSession, path: str, output: str, providers: list, source: str, target: str, concurrency: int = 4) -> DataFrame:
-    """Returns how many paragraphs of each package were translated, and how many failed and keep their text."""
-    out, summary = D.translate_packages(_parts(spark, path), providers, source, target, concurrency)
+def translate(spark: SparkSession, path: str, output: str, providers: list, source: str, target: str, concurrency: int | None = None, preserve_formatting: bool = False) -> DataFrame:
+    """Returns how many paragraphs of each package were translated, and how many failed and keep their text.
+
+    With ``preserve_formatting`` the formats of the runs go along to the translation. Each text is sent once.
+    """
+    job = D.translate_runs if preserve_formatting else D.translate_packages
+    out, summary = job(_parts(spark, path), providers, source, target, concurrency=concurrency)
     _save(out, output)
     return summary

@@ -37,7 +37,8 @@ def _parser() -> argparse.ArgumentParser:
     add("infer-headings", False, blueprint={}, output={}, insert_missing=switch)
     add("inspect", False)
     add("check", False)
-    add("translate", False, output={}, source_lang={"default": "en"}, target_lang={"required": True}, model={}, concurrency={"type": int, "default": 4}, dry_run=switch)
+    add("translate", False, output={}, source_lang={"default": "en"}, target_lang={"required": True}, model={}, concurrency={"type": int}, preserve_formatting=switch, dry_run=switch)
+    sub.add_parser("list-models")
     return p
 
 
@@ -48,6 +49,14 @@ def _print(df: DataFrame) -> None:
 
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> int:
     a = _parser().parse_args(args)
+    if a.command == "list-models":
+        for p in translation.providers_from(dict(os.environ)):
+            try:
+                for i, capabilities in p.list_models():
+                    print(p.name, i, capabilities, sep="\t")
+            except translation.ProviderError as e:
+                print(e, file=sys.stderr)
+        return 0
     spark = spark or SparkSession.builder.appName("quillframe").getOrCreate()
     if a.command == "clean":
         if a.dry_run or not a.output:
@@ -77,15 +86,13 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
         _print(found.orderBy("doc_id", "check_no", "seq"))
         return int(found.where("severity = 'issue'").limit(1).count() > 0)
     elif a.dry_run or not a.output:
-        from pyspark.sql import functions as F
-
-        _print(api.extract_paragraph_texts(spark, a.path).orderBy("doc_id", "p_idx").select("doc_id", F.format_string("[%03d] %s", "p_idx", "text")))
+        _print(documents.dump(api._parts(spark, a.path)).orderBy("doc_id", "p_idx").select("doc_id", "line"))
     else:
         chain = translation.providers_from(dict(os.environ), a.model)
         if not chain:
             print("no provider's key is set", file=sys.stderr)
             return 2
-        _print(api.translate(spark, a.path, a.output, chain, a.source_lang, a.target_lang, a.concurrency))
+        _print(api.translate(spark, a.path, a.output, chain, a.source_lang, a.target_lang, a.concurrency, a.preserve_formatting))
     return 0
 
 

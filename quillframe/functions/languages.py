@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillframe.functions.text import trim_all
+
 #: Code: the name that it stands for, then the other names that are understood.
 NAMES = {
     k: v.split(",")
@@ -54,7 +56,8 @@ def _map(d: dict[str, str]) -> Column:
 
 
 def parse_language(c: Column) -> Column:
-    """STRUCT<name, code>: up to three ASCII letters are a code, anything else a name; what isn't known is echoed."""
+    """STRUCT<name, code>: up to three ASCII letters are a code, anything else a name; what isn't known is echoed. White space around it goes."""
+    c = trim_all(c)
     low = F.lower(c)
     is_code = c.rlike(r"^[A-Za-z]{1,3}\z")
     return F.struct(
@@ -64,7 +67,7 @@ def parse_language(c: Column) -> Column:
 
 
 def language_sql(c: str) -> tuple[str, str]:
-    """DuckDB expressions for (name, code)."""
+    """DuckDB expressions for (name, code); ``c`` without white space around it."""
     code = f"regexp_full_match({c}, '[A-Za-z]{{1,3}}')"
     by_code = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in BY_CODE.items())
     by_name = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in BY_NAME.items())

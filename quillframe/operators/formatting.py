@@ -82,3 +82,10 @@ def merge_runs(texts: DataFrame, formatted: DataFrame) -> DataFrame:
 def transfer(runs: DataFrame, translations: DataFrame, edges: DataFrame) -> DataFrame:
     """Runs, translation and word edges to target runs."""
     return merge_runs(translations, fill_formats(word_spans(translations), edges, majority_format(runs)))
+
+
+def links_by_place(source: DataFrame, target: DataFrame) -> DataFrame:
+    """(pair_id, src_word, tgt_word): each target word with the source word at the same share of its sentence; for want of an aligner."""
+    n = lambda df, name: word_spans(df).groupBy("pair_id").agg(F.count(F.lit(1)).cast("int").alias(name))
+    words = word_spans(target).select("pair_id", F.col("w_idx").alias("tgt_word")).join(n(source, "_s"), "pair_id").join(n(target, "_t"), "pair_id")
+    return words.select("pair_id", F.floor(F.col("tgt_word") * F.col("_s") / F.col("_t")).cast("int").alias("src_word"), "tgt_word")

@@ -27,6 +27,11 @@ def reconcile(runs: DataFrame, notes: DataFrame) -> DataFrame:
     return both.select("doc_id", "note_id", status.alias("status"))
 
 
+def dangling(references: DataFrame, notes: DataFrame) -> DataFrame:
+    """The rows of references (doc_id, note_id and more) whose note isn't there; null ids are references to nothing."""
+    return references.join(notes.select("doc_id", "note_id").distinct(), ["doc_id", "note_id"], "left_anti")
+
+
 def split_at_markers(runs: DataFrame, notes: DataFrame) -> DataFrame:
     """Each run as pieces (doc_id, p_idx, r_idx, seq, text, note_id): text between markers, and references; all that a run has else stays with it.
 

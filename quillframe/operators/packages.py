@@ -66,27 +66,30 @@ def json_notes(rows: DataFrame, column: str) -> DataFrame:
 def convert_notes_kind(parts: DataFrame, to_endnotes: bool = True) -> DataFrame:
     """Footnotes to endnotes or back: nothing happens without the one or with the other already there.
 
-    data as text. The notes part and the document get the substitutions in this order, the part its new
-    name in its old place, relationships and content types theirs.
+    data as text or bytes. The notes part and the document get the substitutions in this order, the part its
+    new name in its old place, relationships and content types theirs. Other parts, images among them, stay
+    where they are, byte for byte, and don't move; bytes that aren't UTF-8 stay too.
     """
     a, b = ("footnote", "endnote") if to_endnotes else ("endnote", "footnote")
     up = {"footnote": "Footnote", "endnote": "Endnote"}
     pairs = [(f"w:{a}s", f"w:{b}s"), (f"w:{a} ", f"w:{b} "), (f"w:{a}>", f"w:{b}>"), (f"w:{a}Ref", f"w:{b}Ref"), (f"w:{a}Reference", f"w:{b}Reference"), (f"{up[a]}Text", f"{up[b]}Text"), (f"{up[a]}Reference", f"{up[b]}Reference")]
     src, dst = f"word/{a}s.xml", f"word/{b}s.xml"
+    kind, name = parts.schema["data"].dataType, F.col("part_name")
+    concerned = F.coalesce(name.isin(src, dst, DOCUMENT, RELS, CONTENT_TYPES), F.lit(False))
     w = Window.partitionBy("doc_id")
-    convert = F.bool_or(F.col("part_name") == src).over(w) & ~F.bool_or(F.col("part_name") == dst).over(w)
+    convert = F.bool_or(name == src).over(w) & ~F.bool_or(name == dst).over(w)
 
     def fold(pairs: list[tuple[str, str]]):
-        c = F.col("data")
+        c = F.col("data").cast("string")  # the bytes as they are
         for old, new in pairs:
             c = F.replace(c, F.lit(old), F.lit(new))
-        return c
+        return c.cast(kind)
 
     rels = fold([(f"relationships/{a}s", f"relationships/{b}s"), (f'Target="{a}s.xml', f'Target="{b}s.xml')])
     types = fold([(f"wordprocessingml.{a}s+xml", f"wordprocessingml.{b}s+xml"), (f'/{src}"', f'/{dst}"')])
-    name = F.col("part_name")
     data = F.when(~F.col("_c"), F.col("data")).when(name.isin(src, DOCUMENT), fold(pairs)).when(name == RELS, rels).when(name == CONTENT_TYPES, types).otherwise(F.col("data"))
-    return parts.withColumn("_c", convert).select("doc_id", "part_ord", F.when(F.col("_c") & (name == src), F.lit(dst)).otherwise(name).alias("part_name"), data.alias("data"))
+    changed = parts.where(concerned).withColumn("_c", convert).select("doc_id", "part_ord", F.when(F.col("_c") & (name == src), F.lit(dst)).otherwise(name).alias("part_name"), data.alias("data"))
+    return changed.unionByName(parts.where(~concerned).select("doc_id", "part_ord", "part_name", "data"))
 
 
 TAG_FIXES = (("w:sz-cs", "w:szCs"), ("w:b-cs", "w:bCs"), ("w:i-cs", "w:iCs"))

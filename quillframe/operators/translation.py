@@ -59,6 +59,11 @@ def _post(url: str, body: dict, headers: dict[str, str]) -> dict:
         return json.load(reply)
 
 
+def _get(url: str, headers: dict[str, str]) -> dict:
+    with urllib.request.urlopen(urllib.request.Request(url, headers=headers), timeout=TIMEOUT_S) as reply:
+        return json.load(reply)
+
+
 def prompt(text: str, source: str, target: str, style: str) -> str:
     return f"Translate from {source} into {target}. {STYLES[style]} Answer with the translation only.\n\n{text}"
 
@@ -97,6 +102,26 @@ class HttpProvider:
             raise ProviderError(f"{self.name}: {type(e).__name__} {e}"[:400]) from e
 
 
+    def list_models(self) -> list[tuple[str, str]]:
+        """(id, capabilities) of the models that the provider offers, by the same reading as ``list_models`` of replies."""
+        path, headers = {"generate": ("/api/tags", {}), "messages": ("/v1/models", {"x-api-key": self.key, "anthropic-version": "2023-06-01"})}.get(self.kind, ("/models", {"authorization": f"Bearer {self.key}"}))
+        try:
+            reply = _get(self.url + path, headers)
+            rows = reply["models"] if self.kind == "generate" else reply["data"]
+            out = []
+            for m in rows:
+                if self.kind == "generate":
+                    out.append((m.get("name"), f"{(m.get('details') or {}).get('parameter_size') or '?'} params"))
+                elif self.kind == "messages":
+                    out.append((m.get("id"), f"Display: {m['display_name']}" if m.get("display_name") else "Available"))
+                else:
+                    n = m.get("context_window") or m.get("context_length")
+                    out.append((m.get("id"), f"ctx: {n}" if n else "Available"))
+            return [(i, c) for i, c in out if i]
+        except (OSError, ValueError, KeyError, TypeError, AttributeError) as e:
+            raise ProviderError(f"{self.name}: {type(e).__name__} {e}"[:400]) from e
+
+
 #: Name, kind of wire, host and path, default model; in the order in which keys are looked for. A key is NAME_API_KEY; without one: ollama.
 _HOSTS = """
 groq        chat      api.groq.com/openai/v1        llama-3.3-70b-versatile
@@ -139,15 +164,16 @@ class LocalProvider:
 
 
 _MODELS: dict = {}
-SCHEMA = "doc_id long, p_idx int, text string, translated string, provider string, error string"
+RESULT = "p_idx int, text string, translated string, provider string, error string"
 
 
 def translate(paras: DataFrame, providers: Sequence[Provider], source: str, target: str, concurrency: int | None = None) -> DataFrame:
     """``doc_id, p_idx, text, translated, provider, error``, a row for each paragraph.
 
     The first provider that succeeds on a text counts; where all fail, translated is null and error the
-    last one's. Blank and null paragraphs are not sent and have nulls. Rows are told apart by their columns, never by the order of arrival;
-    ``concurrency`` bounds the tasks that call at a time.
+    last one's. Blank and null paragraphs are not sent and have nulls. Rows are told apart by their columns, never by the order of
+    arrival; doc_id is of any type. ``concurrency`` bounds the tasks that call at a time, for a provider that
+    allows no more: without it there are as many as the rows have partitions.
     """
     if not providers:
         raise ValueError("no providers")
@@ -169,8 +195,8 @@ def translate(paras: DataFrame, providers: Sequence[Provider], source: str, targ
                 errors.append(error)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string()), pa.array(names, pa.string()), pa.array(errors, pa.string())], names=["doc_id", "p_idx", "text", "translated", "provider", "error"])
 
-    rows = paras.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("p_idx").cast("int").alias("p_idx"), F.col("text").cast("string").alias("text"))
-    return (rows.repartition(max(1, concurrency)) if concurrency else rows).mapInArrow(run, SCHEMA)
+    rows = paras.select("doc_id", F.col("p_idx").cast("int").alias("p_idx"), F.col("text").cast("string").alias("text"))
+    return (rows.repartition(max(1, concurrency)) if concurrency else rows).mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {RESULT}")
 
 
 def mock_translation(text: Column, target: str) -> Column:
@@ -178,11 +204,6 @@ def mock_translation(text: Column, target: str) -> Column:
     return F.concat(F.lit(f"[{target}] "), F.array_join(F.reverse(F.split(text, " ")), " "))
 
 
-def first_success(paras: DataFrame, attempts: Sequence[tuple[str, Column]]) -> DataFrame:
-    """attempts: (provider, its translation or null), tried in order; adds translated and provider."""
-    return paras.withColumn("translated", F.coalesce(*(c for _, c in attempts))).withColumn("provider", F.coalesce(*(F.when(c.isNotNull(), F.lit(n)) for n, c in attempts)))
-
-
 def write_back(paras: DataFrame, translated: DataFrame) -> DataFrame:
     """paras: doc_id, p_idx, text. The translation of the same place, else the text as it was."""
     t = translated.select("doc_id", "p_idx", "translated")

@@ -14,8 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillframe.operators import checks, headings, packages, translation
+from quillframe.operators import checks, formatting, headings, packages, translation
 from quillframe.operators import styles as style_ops
+from quillframe.sources import tables
 from quillframe.sources import xmlparts as X
 
 SCANNED = (packages.DOCUMENT, packages.FOOTNOTES, packages.ENDNOTES)
@@ -28,6 +29,11 @@ def _text(data: bytes | None) -> str:
     return (data or b"").decode("utf-8", "surrogateescape")
 
 
+def _readable(data: bytes | None) -> str:
+    """For what is only read: bytes that aren't UTF-8 become U+FFFD, one for each; check 1 reports them."""
+    return (data or b"").decode("utf-8", "replace")
+
+
 def _bytes(text: str) -> bytes:
     return text.encode("utf-8", "surrogateescape")
 
@@ -49,7 +55,7 @@ def extract(parts: DataFrame, part: str, schema: str, rows_of: Callable[[str], l
         for batch in batches:
             rows, size = [], 0
             for doc, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows += [(doc, *r) for r in rows_of(_text(data))]
+                rows += [(doc, *r) for r in rows_of(_readable(data))]
                 size += len(data or b"")
                 if rows and size > BATCH_BYTES:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
@@ -64,6 +70,16 @@ def paragraph_texts(parts: DataFrame) -> DataFrame:
     return extract(parts, packages.DOCUMENT, "p_idx int, text string", lambda x: [(i, p.text) for i, p in enumerate(X.paragraphs(x))])
 
 
+def dump(parts: DataFrame) -> DataFrame:
+    """doc_id, p_idx, line: the paragraphs as a dry run shows them."""
+    return paragraph_texts(parts).select("doc_id", "p_idx", F.format_string("[%03d] %s", "p_idx", "text").alias("line"))
+
+
+def body_slices(parts: DataFrame) -> DataFrame:
+    """doc_id, head, body, section, tail of each document part that has a body; they add up to it."""
+    return extract(parts, packages.DOCUMENT, "head string, body string, section string, tail string", lambda x: [X.body_slice(x)] if X.outermost(X.tokens(x), "w:body") else [])
+
+
 def paragraph_runs(parts: DataFrame) -> DataFrame:
     """One row for each run, with its properties and references as written."""
     schema = "p_idx int, r_idx int, text string, rpr_xml string, note_refs array<string>"
@@ -144,12 +160,8 @@ def clean(parts: DataFrame, also_normalize_tags: bool = False) -> DataFrame:
     return normalize_tags(out.drop("n_changed")) if also_normalize_tags else out
 
 
-def _as_text(parts: DataFrame) -> DataFrame:
-    return _columns(parts).withColumn("data", F.decode("data", "UTF-8"))
-
-
 def convert_notes_kind(parts: DataFrame, to_endnotes: bool = True) -> DataFrame:
-    return packages.convert_notes_kind(_as_text(parts), to_endnotes).withColumn("data", F.encode("data", "UTF-8"))
+    return packages.convert_notes_kind(_columns(parts), to_endnotes)
 
 
 class Package:
@@ -404,12 +416,32 @@ def replace_runs(parts: DataFrame, runs: DataFrame) -> DataFrame:
     return _grouped(parts, change, held)
 
 
-def translate_packages(parts: DataFrame, providers: list, source: str, target: str, concurrency: int | None = 4) -> tuple[DataFrame, DataFrame]:
-    """(parts, summary): each paragraph's text translated in place; what fails keeps its text."""
-    done = translation.translate(paragraph_texts(parts).withColumn("_k", F.col("doc_id")).select(F.xxhash64("doc_id").alias("doc_id"), "p_idx", "text"), providers, source, target, concurrency)
-    keys = _columns(parts).select("doc_id").distinct().withColumn("_k", F.xxhash64("doc_id"))
-    named = done.withColumnRenamed("doc_id", "_k").join(keys, "_k").drop("_k")
-    return replace_texts(parts, named.select("doc_id", "p_idx", F.col("translated").alias("text"))), translation.summary(named)
+def translate_packages(parts: DataFrame, providers: list, source: str, target: str, concurrency: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(parts, summary): each paragraph's text translated in place; what fails keeps its text.
+
+    Providers are called here, once: the translations are a table, from which both results are made.
+    """
+    done = tables.table(translation.translate(paragraph_texts(parts), providers, source, target, concurrency), "translations")
+    return replace_texts(parts, done.select("doc_id", "p_idx", F.col("translated").alias("text"))), translation.summary(done)
+
+
+def translate_runs(parts: DataFrame, providers: list, source: str, target: str, links_of: Callable[[DataFrame, DataFrame], DataFrame] | None = None, concurrency: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(parts, summary): as ``translate_packages``, and the formats of a paragraph's runs go along to its translation.
+
+    links_of(source texts, translated texts), both pair_id and text, gives pair_id, src_word, tgt_word, as an
+    aligner finds them; the default links words by their place in the sentence. Paragraphs without a
+    translation stay as they are, runs included.
+    """
+    runs = paragraph_runs(parts)
+    runs = runs.select(F.to_json(F.array(F.col("doc_id"), F.col("p_idx").cast("string"))).alias("pair_id"), "doc_id", "p_idx", "r_idx", "text", F.col("rpr_xml").alias("format"))
+    done = tables.table(translation.translate(paragraph_texts(parts), providers, source, target, concurrency), "translations")
+    pair = F.to_json(F.array(F.col("doc_id"), F.col("p_idx").cast("string"))).alias("pair_id")
+    translated = done.where("translated is not null").select(pair, F.col("translated").alias("text"))
+    texts = formatting.whole_text(runs)
+    made = formatting.transfer(runs, translated, (links_of or formatting.links_by_place)(texts, translated))
+    key = F.from_json("pair_id", "array<string>")
+    new = made.select(key[0].alias("doc_id"), key[1].cast("int").alias("p_idx"), "r_idx", "text", F.col("format").alias("rpr_xml"))
+    return replace_runs(parts, new), translation.summary(done)
 
 
 def check_package(parts: DataFrame) -> DataFrame:
@@ -439,7 +471,7 @@ def check_package(parts: DataFrame) -> DataFrame:
             rows = []
             for d, name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 rows.append((d, name, "error", X.parse_error(data or b""), None, None, None))
-                ts = X.tokens(_text(data))
+                ts = X.tokens(_readable(data))
                 if name == packages.DOCUMENT:
                     rows += [(d, name, what, v, None, None, n) for what, v, n in values(ts)]
                 if name == packages.SETTINGS:

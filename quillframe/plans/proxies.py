@@ -20,7 +20,7 @@ def parts(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "pages")
     rows = [(0, "[Content_Types].xml", "url"), (1, "word/document.xml", "html"), (2, "word/_rels/document.xml.rels", "url"), (3, "word/footnotes.xml", "notes")]
     made = F.array(*(F.struct(F.lit(k).alias("part_ord"), F.lit(n).alias("part_name"), F.col(c).alias("data")) for k, n, c in rows))
-    out = p.withColumn("notes", F.substring("html", 1, 400)).select(F.col("page_id").alias("doc_id"), F.inline(made))
+    out = p.withColumn("notes", F.col("html")).select(F.col("page_id").alias("doc_id"), F.inline(made))
     return out.where(~((F.col("part_ord") == 0) & (F.col("doc_id") % 7 == 0)) & ~((F.col("part_ord") == 3) & (F.col("doc_id") % 3 == 0)))
 
 
@@ -51,7 +51,7 @@ def font_runs(spark: SparkSession, d: str) -> DataFrame:
 
 def turns(spark: SparkSession, d: str) -> DataFrame:
     """Turns of a conversation as runs of a text; two turns share a format."""
-    return table(spark, d, "conversations").select(F.col("conv_id").alias("pair_id"), F.col("turn").cast("int").alias("r_idx"), F.substring("text", 1, 200).alias("text"), F.expr("cast(turn div 2 as int)").alias("format"))
+    return table(spark, d, "conversations").select(F.col("conv_id").alias("pair_id"), F.col("turn").cast("int").alias("r_idx"), F.col("text"), F.expr("cast(turn div 2 as int)").alias("format"))
 
 
 def tokens(spark: SparkSession, d: str) -> DataFrame:
@@ -85,13 +85,13 @@ SQL = {
  SELECT page_id AS doc_id, 0 AS part_ord, '[Content_Types].xml' AS part_name, url AS data FROM pages WHERE page_id % 7 <> 0
  UNION ALL SELECT page_id, 1, 'word/document.xml', html FROM pages
  UNION ALL SELECT page_id, 2, 'word/_rels/document.xml.rels', url FROM pages
- UNION ALL SELECT page_id, 3, 'word/footnotes.xml', substring(html, 1, 400) FROM pages WHERE page_id % 3 <> 0)""",
+ UNION ALL SELECT page_id, 3, 'word/footnotes.xml', html FROM pages WHERE page_id % 3 <> 0)""",
     "items": "items AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS n FROM lineitem)",
     "font_runs": """font_runs AS (SELECT floor(l_orderkey / 64.0)::BIGINT AS doc_id, l_orderkey AS p_idx, n::INTEGER AS r_idx,
  CASE WHEN n = 4 THEN '' ELSE 'run ' || l_partkey END AS text, l_returnflag IN ('R', 'A') AS bold,
  CASE WHEN n % 2 = 1 THEN l_quantity / 2 END AS size, l_orderkey % 11 = 0 AS ppr_bold, CASE WHEN l_orderkey % 5 = 0 THEN 12.0::DOUBLE END AS ppr_size,
  CASE WHEN l_orderkey % 13 = 0 THEN 'heading1' WHEN l_orderkey % 7 = 0 THEN 'body' END AS style_class FROM items)""",
-    "turns": "turns AS (SELECT conv_id AS pair_id, turn::INTEGER AS r_idx, substring(text, 1, 200) AS text, (turn // 2)::INTEGER AS format FROM conversations)",
+    "turns": "turns AS (SELECT conv_id AS pair_id, turn::INTEGER AS r_idx, text, (turn // 2)::INTEGER AS format FROM conversations)",
     "tokens": """ranked AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM embeddings),
 base AS (SELECT label, rn, CASE WHEN vec_id % 3 = 0 THEN '##x' || vec_id WHEN vec_id % 10 = 0 THEN '[SEP]' ELSE 'w' || vec_id END AS token, embedding AS vec FROM ranked WHERE rn <= 8),
 tokens AS (SELECT label AS pair_id, 'src' AS side, (rn - 1)::INTEGER AS tok_idx, token, vec FROM base UNION ALL SELECT label - 1, 'tgt', (rn - 1)::INTEGER, token, vec FROM base)""",

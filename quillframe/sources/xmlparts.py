@@ -7,6 +7,8 @@ end, empty, text, other. All nesting is followed by depth, so that text boxes in
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import defaultdict
 from dataclasses import dataclass, field
 from xml.parsers import expat
 
@@ -15,9 +17,10 @@ _ATTR = re.compile(r"([^\s=]+)\s*=\s*(\"[^\"]*\"|'[^']*')")
 _ENTITY = re.compile(r"&(#[xX]?[0-9a-fA-F]+|lt|gt|amp|quot|apos);")
 _NAMED = {"lt": "<", "gt": ">", "amp": "&", "quot": '"', "apos": "'"}
 
-_HOST = "http://schemas." + "openxmlformats.org"
-MAIN, RELATIONS = _HOST + "/wordprocessingml/2006/main", _HOST + "/officeDocument/2006/relationships"
-PACKAGE_RELATIONS, WORD_2010 = _HOST + "/package/2006/relationships", "http://schemas." + "microsoft.com/office/word/2010/wordml"
+MAIN = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+RELATIONS = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+PACKAGE_RELATIONS = "http://schemas.openxmlformats.org/package/2006/relationships"
+WORD_2010 = "http://schemas.microsoft.com/office/word/2010/wordml"
 
 
 def made(tag: str, *inner: str, space: bool = False, **attributes: object) -> str:
@@ -43,8 +46,28 @@ class Token(tuple):
     source = property(lambda t: t[2])
 
 
-def tokens(xml: str) -> list[Token]:
-    out = []
+class Tokens(list):
+    """The tokens of a source; where each element ends is found once, in one pass."""
+
+    _ends: list[int] | None = None
+
+    @property
+    def ends(self) -> list[int]:
+        if self._ends is None:
+            ends, open_ = [len(self)] * len(self), defaultdict(list)
+            for k, (kind, name, _) in enumerate(self):
+                if kind == "start":
+                    open_[name].append(k)
+                elif kind == "empty":
+                    ends[k] = k + 1
+                elif kind == "end" and open_[name]:
+                    ends[open_[name].pop()] = k + 1
+            self._ends = ends
+        return self._ends
+
+
+def tokens(xml: str) -> Tokens:
+    out = Tokens()
     for m in _TOKEN.finditer(xml):
         s = m[0]
         if m[2]:
@@ -85,17 +108,9 @@ def text_of(t: Token) -> str:
     return t.source[9:-3] if t.source.startswith("<![CDATA[") else unescape(t.source)
 
 
-def span(ts: list[Token], at: int) -> int:
+def span(ts: Tokens, at: int) -> int:
     """Index behind the element that starts at ``at``; the end of the list if it is never closed."""
-    if ts[at].kind == "empty":
-        return at + 1
-    depth = 0
-    for k in range(at, len(ts)):
-        if ts[k].name == ts[at].name:
-            depth += {"start": 1, "end": -1}.get(ts[k].kind, 0)
-            if not depth:
-                return k + 1
-    return len(ts)
+    return ts.ends[at]
 
 
 def outermost(ts: list[Token], name: str, first: int = 0, last: int | None = None) -> list[tuple[int, int]]:
@@ -251,10 +266,11 @@ def _own_properties(ts: list[Token], a: int, b: int) -> tuple[int, int] | None:
 def clean_runs(xml: str) -> tuple[str, int]:
     """Drop properties that aren't kept from runs without a footnote reference; n counts those dropped, not what is inside them."""
     ts, drop, n = tokens(xml), set(), 0
+    refs = [k for k, t in enumerate(ts) if t.name in ("w:footnoteReference", "w:footnoteRef")]
     for a, t in enumerate(ts):
         if t.kind == "start" and t.name == "w:r":
             b = span(ts, a)
-            if any(x.name in ("w:footnoteReference", "w:footnoteRef") for x in ts[a:b]):
+            if bisect_left(refs, a) < bisect_left(refs, b):
                 continue
             own = _own_properties(ts, a, b)
             for x, y in _children(ts, *own) if own and ts[own[0]].kind == "start" else ():

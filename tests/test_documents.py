@@ -137,7 +137,7 @@ def test_references_are_injected_and_the_rest_of_the_run_stays():
 def test_notes_kind_there_and_back(spark):
     doc = document(ox('<p><r><footnoteReference id="1"/></r></p>'))
     kind = "footnotes"
-    types = f'<Types xmlns="c"><Override PartName="/word/{kind}.xml" ContentType="{"application/vnd.openxmlformats"}-officedocument.wordprocessingml.{kind}+xml"/></Types>'
+    types = f'<Types xmlns="c"><Override PartName="/word/{kind}.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.{kind}+xml"/></Types>'
     rels = relations("rId10", kind)
     rows = package("a", doc, rels=rels, footnotes=NOTES)
     rows[0] = ("a", 0, P.CONTENT_TYPES, bytearray(types.encode()))
@@ -263,3 +263,84 @@ def test_provider_requests_and_replies(spark, monkeypatch):
         monkeypatch.setattr(T, "_post", lambda url, body, headers: {})
         with pytest.raises(T.ProviderError):
             p.translate("text", "English", "German")
+
+
+class Counting:
+    """Writes a file for each call."""
+
+    def __init__(self, folder):
+        self.name, self.folder = "counting", str(folder)
+
+    def translate(self, text, source, target):
+        import uuid
+
+        with open(f"{self.folder}/{uuid.uuid4().hex}", "w") as f:
+            f.write(text)
+        return text.upper() + "."
+
+
+@pytest.mark.parametrize("job", [D.translate_packages, D.translate_runs])
+def test_each_text_is_sent_once(spark, tmp_path, job):
+    df = frame(spark, package("x", document(para("hello there") + para("  ") + para("good day"))))
+    out, summary = job(df, [Counting(tmp_path)], "en", "de")
+    assert [p.text for p in X.paragraphs(part(out, "x", P.DOCUMENT))] == ["HELLO THERE.", "  ", "GOOD DAY."]
+    assert [(r.doc_id, r.n, r.n_ok, r.n_failed) for r in summary.collect()] == [("x", 3, 2, 0)]
+    assert len(os.listdir(tmp_path)) == 2
+
+
+def test_formats_go_along_to_a_translation(spark):
+    runs = ox("<p><r><rPr><b/></rPr><t>one two </t></r><r><rPr><i/></rPr><t>three four</t></r></p>")
+    df = frame(spark, package("x", document(runs + para("bad"))), package('y"[,', document(runs)))
+    out, _ = D.translate_runs(df, [T.MockProvider("a", "bad")], "en", "de")
+    for doc in ("x", 'y"[,'):
+        got = [[(r.text, r.rpr) for r in p.runs] for p in X.paragraphs(part(out, doc, P.DOCUMENT))]
+        assert got[0] == [("[de] four three ", ox("<rPr><b/></rPr>")), ("two one", ox("<rPr><i/></rPr>"))]
+    assert [p.text for p in X.paragraphs(part(out, "x", P.DOCUMENT))][1] == "bad"
+    reverse = lambda s, t: spark.createDataFrame([(r.pair_id, 3 - k, k + 1) for r in s.collect() for k in range(4)], "pair_id string, src_word int, tgt_word int")
+    out, _ = D.translate_runs(df, [T.MockProvider("a", "bad")], "en", "de", reverse)
+    assert [(r.text, r.rpr) for r in X.paragraphs(part(out, "x", P.DOCUMENT))[0].runs] == [("[de] four three ", ox("<rPr><i/></rPr>")), ("two one", ox("<rPr><b/></rPr>"))]
+
+
+def test_bytes_that_are_no_utf8(spark):
+    rows = package("a", document(para("fine"))) + [("a", 9, "word/media/x.png", bytearray(b"\x89PNG\xff\xc3"))] + package("b", document(para("b~d")), footnotes=NOTES)
+    rows = [(d, k, n, bytearray(bytes(x).replace(b"~", b"\xff")) if n == P.DOCUMENT else x) for d, k, n, x in rows]
+    df = frame(spark, rows)
+    assert {(r.doc_id, r.text) for r in D.paragraph_texts(df).collect()} == {("a", "fine"), ("b", "b\ufffdd")}
+    there = {(r.doc_id, r.part_name): bytes(r.data) for r in D.convert_notes_kind(df).collect()}
+    assert there["a", "word/media/x.png"] == b"\x89PNG\xff\xc3" and b"b\xffd" in there["b", P.DOCUMENT] and ("b", P.ENDNOTES) in there and ("b", P.FOOTNOTES) not in there
+    assert [(r.doc_id, r.severity) for r in D.check_package(df).where("check_no = 1").orderBy("doc_id").collect()] == [("a", "ok"), ("b", "issue")]
+    assert b"b\xffd" in next(bytes(r.data) for r in D.clean_runs(df).collect() if r.doc_id == "b" and r.part_name == P.DOCUMENT)
+
+
+def test_files_of_one_name_stay_apart(spark, tmp_path):
+    folder = str(tmp_path / "in")
+    docx.write_packages(frame(spark, package("x/same", document(para("one"))), package("y/same", document(para("two"))), package("z", document(""))), folder)
+    assert sorted(os.listdir(folder)) == ["x", "y", "z.docx"]
+    texts = lambda path: {(r.doc_id, r.text) for r in api.extract_paragraph_texts(spark, path).collect()}
+    both = {("x/same", "one"), ("y/same", "two")}
+    assert texts(folder) == texts(f"file://{folder}") == texts(f"{folder}/**/*.docx") == texts(f"{folder}/*/same.docx") == both
+    assert texts(f"{folder}/x") == texts(f"{folder}/x/*.docx") == texts(f"{folder}/x/same.docx") == {("same", "one")} and texts(f"{folder}/none") == set()
+    table = str(tmp_path / "table")
+    ingest(spark, folder, table, str(tmp_path / "checkpoint")).awaitTermination()
+    assert {r.doc_id for r in spark.read.parquet(table).collect()} == {"x/same", "y/same", "z"}
+
+
+def test_deep_nesting_takes_linear_time():
+    import time
+
+    xml = ox("<p><r>") * 20_000 + ox("<t>x</t>") + ox("</r></p>") * 20_000
+    began = time.process_time()
+    assert X.clean_runs(document(xml))[1] == 0 and len(X.tokens(xml).ends) == 80_003
+    assert time.process_time() - began < 20
+
+
+def test_models_of_a_provider(monkeypatch, capsys):
+    replies = {"/models": {"data": [{"id": "a", "context_window": 8}, {"id": ""}, {"id": "b"}]}, "/v1/models": {"data": [{"id": "c", "display_name": "C"}]}, "/api/tags": {"models": [{"name": "d", "details": {"parameter_size": "3B"}}]}}
+    monkeypatch.setattr(T, "_get", lambda url, headers: replies[url.removeprefix("http://h")])
+    got = [T.HttpProvider("n", kind, "http://h", "m").list_models() for kind in ("chat", "messages", "generate")]
+    assert got == [[("a", "ctx: 8"), ("b", "Available")], [("c", "Display: C")], [("d", "3B params")]]
+    monkeypatch.setattr(T, "_get", lambda url, headers: {})
+    with pytest.raises(T.ProviderError):
+        T.HttpProvider("n", "chat", "http://h", "m").list_models()
+    monkeypatch.setenv("GROQ_API_KEY", "k")
+    assert cli.main(["list-models"], object()) == 0 and "groq" in capsys.readouterr().err
