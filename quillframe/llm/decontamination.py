@@ -303,7 +303,11 @@ def _finder(sent):
 
 
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE, slice_items: int = SLICE_ITEMS, text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """The rows of docs in which no item is found, all columns as they are; null texts stay."""
+    """The rows of docs in which no item is found, all columns as they are.
+
+    Null and empty texts stay, repeated rows and ids are judged each by its own text, texts at exactly the allowed
+    edits go; without items everything stays.
+    """
     for sent in _slices(benchmark, "item_id", "text", slice_items, rate, min_words):
         docs = docs.where(~_finder(sent)(F.col(text_col).cast("string")))
     return docs

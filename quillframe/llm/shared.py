@@ -1,44 +1,5 @@
-"""Tables in the folder that all executors share (spark.checkpoint.dir), which cut lineage.
+"""Tables in the folder that all executors share, which cut lineage: those of the library."""
 
-The setting is read from the session. Only where it is unset, as in tests on one machine, a temporary
-folder is made and set. Tables are deleted when the driver ends.
-"""
+from quillframe.sources.tables import folder, table
 
-from __future__ import annotations
-
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def folder(spark: SparkSession) -> str:
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        where = "file://" + tempfile.mkdtemp(prefix="quillframe-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(where)
-    return where
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # the session has ended
-        pass
-
-
-def table(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """Write df once and read it back."""
-    spark = df.sparkSession
-    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    atexit.register(_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["folder", "table"]

@@ -36,11 +36,15 @@ def id_type(raw: bytes) -> str:
 def learn(samples: list[bytes], dict_bytes: int = DICT_BYTES) -> bytes:
     """A dictionary from samples by zstandard's cover selection; b"" if they are too few to train on.
 
-    All samples train: by default the last quarter of them would only test the others.
+    All samples train: by default the last quarter of them would only test the others. Training on little may
+    fail; with ten times the dictionary's size in a hundred samples an error is one.
     """
+    samples = [s for s in samples if s]
     try:
-        return zstandard.train_dictionary(dict_bytes, [s for s in samples if s], k=SEGMENT, d=8, dict_id=1, split_point=1.0).as_bytes()
+        return zstandard.train_dictionary(dict_bytes, samples, k=SEGMENT, d=8, dict_id=1, split_point=1.0).as_bytes()
     except (zstandard.ZstdError, ValueError):
+        if len(samples) >= 100 and sum(map(len, samples)) >= 10 * dict_bytes:
+            raise
         return b""
 
 

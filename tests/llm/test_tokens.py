@@ -145,3 +145,69 @@ def test_last_documents_reach_the_dictionary(spark):
     tokens = spark.createDataFrame([(k, bytearray(x)) for k, x in rows], "doc_id long, ids binary").repartitionByRange(8, "doc_id")
     trained = token_output.train(tokens, "<u2", 16384)
     assert sum(x in trained for x in last) >= 90 and any(x in trained for x in first)
+
+
+def test_unspaced_texts_leave_nothing_behind():
+    b, e, rng = bpe.SpeculativeBpe(vocabulary.ranks(RAW)), vocabulary.encoding(RAW), random.Random(4)
+    for _ in range(5):
+        texts = ["".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(10_000)), "x" * 4000 + "  y", "", "".join(rng.choice("abcdetionghs") for _ in range(3000))]
+        assert [x.tolist() for x in b.encode_batch(texts)] == [e.encode_ordinary(t) for t in texts]
+    assert all(len(k) <= bpe.MEMO_CHARS for memo in (b.memo, b.exact) for k in memo)
+    b.held = bpe.MEMO_BYTES + 1
+    assert b.encode_batch(["again and again"])[0].tolist() == e.encode_ordinary("again and again") and b.held < 10_000
+
+
+def test_words_merged_together_and_alone_agree():
+    b, rng = bpe.SpeculativeBpe(vocabulary.ranks(RAW)), random.Random(8)
+    words = ["".join(rng.choice("abcdetionghs é日") for _ in range(rng.randrange(1, 70))).encode() for _ in range(3000)]
+    data, end = np.frombuffer(b"".join(words), np.uint8), np.cumsum([len(w) for w in words])
+    tokens, n = b.merge_all(data, end - np.array([len(w) for w in words]), end)
+    assert [x.tolist() for x in np.split(tokens, np.cumsum(n)[:-1])] == [b.merge(w) for w in words]
+    flat, n = b.greedy(data, end - np.array([len(w) for w in words]), end)
+    for w, got in zip(words, np.split(flat, np.cumsum(n)[:-1])):
+        want = []
+        while sum(len(b.bytes_of[t]) for t in want) < len(w):
+            rest = w[sum(len(b.bytes_of[t]) for t in want) :]
+            want.append(next(b.ranks[rest[:k]] for k in range(len(rest), 0, -1) if rest[:k] in b.ranks))
+        assert got.tolist() == want
+
+
+def test_round_trips_tell_changed_texts():
+    b = bpe.SpeculativeBpe(vocabulary.ranks(RAW))
+    texts = ["one two", "", "three", "four five six", ""]
+    flat, n = b.encode_flat(texts)
+    given = [t.encode() for t in texts]
+    assert b.round_trips(flat, n, given).tolist() == [True] * 5
+    given[2] = b"thref"
+    assert b.round_trips(flat, n, given).tolist() == [True, True, False, True, True]
+    given[3] += b"!"
+    assert b.round_trips(flat, n, given).tolist() == [True, True, False, False, True]
+    assert b.round_trips(*b.encode_flat([]), []).tolist() == []
+
+
+@pytest.mark.parametrize("rule", token_counts.RULES)
+def test_crossing_tokens_and_repeated_rows(spark, rule):
+    e = vocabulary.encoding(RAW)
+    rows = [(1, "a\n\nb\n\n\nc"), (2, "one line"), (2, "one line"), (2, "two\nlines"), (3, "\n\n\n\n"), (None, "x\n\ny")]
+    want = []
+    for i, text in rows:
+        owner, at, crossing = [text[:k].count("\n") for k in range(len(text))], 0, {}
+        counts = by_hand(text, rule)
+        for t in e.encode_ordinary(text):
+            span = owner[at : at + len(e.decode_single_token_bytes(t))]
+            at += len(span)
+            k = {"start": span[0], "end": span[-1], "majority": max(sorted(set(span)), key=lambda s: (span.count(s), -s))}[rule]
+            crossing[k] = crossing.get(k, 0) + (len(set(span)) > 1)
+        want += [(i or 0, k, n, crossing.get(k, 0), c) for k, n, c in counts]
+    got = [(r.doc_id or 0, r.section, r.n_tokens, r.n_crossing, r.n_chars) for r in token_counts.count_tokens(frame(spark, rows), rule=rule).collect()]
+    assert sorted(got) == sorted(want) and sum(r[3] for r in got) > 0
+
+
+def test_training_errors_on_enough_samples_are_errors(monkeypatch):
+    def fails(*a, **k):
+        raise token_output.zstandard.ZstdError("no memory")
+
+    monkeypatch.setattr(token_output.zstandard, "train_dictionary", fails)
+    assert token_output.learn([b"few"] * 5) == b""
+    with pytest.raises(token_output.zstandard.ZstdError):
+        token_output.learn([b"x" * 10_000] * 200, 65536)
