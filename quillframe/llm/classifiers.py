@@ -163,14 +163,14 @@ def log_odds(slots: list[np.ndarray], bad: np.ndarray) -> tuple[np.ndarray, np.n
     return np.log((pos + 0.5) / (bad.sum() - pos + 0.5)) - np.log((neg + 0.5) / ((~bad).sum() - neg + 0.5)), pos
 
 
-def severity_grades(slots: list[np.ndarray], toxic: np.ndarray, grades: int = GRADES) -> np.ndarray:
-    """Grades 0..grades. Labels with more than two values are grades already.
+def severity_grades(slots: list[np.ndarray], toxic: np.ndarray, grades: int = GRADES, graded: bool | None = None) -> np.ndarray:
+    """Grades 0..grades. Labels that are ``graded`` (by default, if any is over 1) are used as they are, negative ones as 0.
 
     Where labels only say toxic or not, the toxic rows are graded by how many distinct markers they hold,
     cut at the quantiles of that number; equal numbers have equal grades. A marker is a feature of at least
     MARKER_DOCS toxic rows whose smoothed log odds against the other rows reach MARKER_LOG_ODDS.
     """
-    if len(np.unique(toxic)) > 2:
+    if (toxic > 1).any() if graded is None else graded:
         return np.clip(toxic, 0, None)
     bad = toxic > 0
     if not bad.any() or bad.all():
@@ -223,12 +223,16 @@ def fit_ordinal(slots: list[np.ndarray], grade: np.ndarray, steps: int = 100_000
 
 
 def fit_severity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text") -> SeverityModel:
-    """Fit on labels.toxic (0 for clean, 1 or grades above). Without labelled rows, or toxic ones, every text is clean."""
+    """Fit on labels.toxic (0 for clean, 1 or grades above). Without labelled rows, or toxic ones, every text is clean.
+
+    Labels are grades if any label of the whole table is over 1, whichever rows are fitted on.
+    """
+    graded = (labels.agg(F.max(F.col("toxic").cast("int"))).collect()[0][0] or 0) > 1
     rows = training_rows(docs, labels, "toxic", toxicity_features, True, max_rows, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots, _, toxic = _rows(batches)
-        m = fit_ordinal(slots, severity_grades(slots, toxic))
+        m = fit_ordinal(slots, severity_grades(slots, toxic, graded=graded))
         yield pa.RecordBatch.from_arrays([pa.array([m.weights.tobytes()], pa.binary()), pa.array([m.thresholds.tolist()], pa.list_(pa.float64()))], names=["w", "t"])
 
     found = rows.mapInArrow(run, "w binary, t array<double>").collect()
@@ -281,30 +285,40 @@ def quality_scores(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS,
 def toxicity_grades(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, reject: float = REJECT_TOXIC) -> DataFrame:
     """``doc_id, p_toxic, severity, grade, rejected``, one row for each row of docs.
 
-    p_toxic is P(grade >= 1), severity the expected grade (the sum of P(grade >= k)), grade the most likely
-    one (the lowest of equal ones); rejected where p_toxic is at least ``reject``. An empty text has the
-    thresholds alone. A null text has nulls and isn't rejected. Null and repeated ids: row for row.
+    p_toxic is P(grade >= 1), severity the expected grade (the sum of P(grade >= k)); rejected where p_toxic is
+    at least ``reject``. grade agrees with that: 0 where a row isn't rejected, else the most likely of the
+    grades from 1 on (the lowest of equal ones). An empty text has the thresholds alone. A null text has nulls
+    and isn't rejected. Null and repeated ids: row for row.
     """
     model = fit_severity(docs, labels, max_rows)
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), severity_column(docs, model).alias("p"))
     k = len(model.thresholds)
-    at_least = [F.lit(1.0), *(F.col("p")[i] for i in range(k)), F.lit(0.0)]
+    at_least = [*(F.col("p")[i] for i in range(k)), F.lit(0.0)]
     exactly = F.array(*(a - b for a, b in zip(at_least, at_least[1:])))
+    rejected = F.coalesce(F.col("p")[0] >= reject, F.lit(False))
     return out.select(
         "doc_id",
         F.col("p")[0].alias("p_toxic"),
         F.aggregate("p", F.lit(0.0), lambda s, x: s + x).alias("severity"),
-        F.when(F.col("p").isNotNull(), F.array_position(exactly, F.array_max(exactly)).cast("int") - 1).alias("grade"),
-        F.coalesce(F.col("p")[0] >= reject, F.lit(False)).alias("rejected"),
+        F.when(rejected, F.array_position(exactly, F.array_max(exactly)).cast("int")).when(F.col("p").isNotNull(), 0).alias("grade"),
+        rejected.alias("rejected"),
     )
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, reject: float = REJECT_TOXIC) -> DataFrame:
-    """The rows of docs that aren't rejected as toxic, all columns as they are; rows with a null text stay."""
+    """The rows of docs that aren't rejected as toxic, all columns as they are.
+
+    Rows with a null text stay; empty texts by the thresholds alone, which clean labels keep; repeated rows and ids
+    each by its own text; ties with ``reject`` go. An empty table stays empty.
+    """
     p = severity_column(docs, fit_severity(docs, labels, max_rows))[0]
     return docs.where(F.coalesce(p < reject, F.lit(True)))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, keep: float = KEEP_QUALITY) -> DataFrame:
-    """The rows of docs with a score of at least ``keep``, all columns as they are; rows with a null text go."""
+    """The rows of docs with a score of at least ``keep``, all columns as they are.
+
+    Rows with a null text go; empty texts by the bias alone; repeated rows and ids each by its own text; ties with
+    ``keep`` stay. An empty table stays empty.
+    """
     return docs.where(F.coalesce(quality_column(docs, fit_quality(docs, labels, max_rows)) >= keep, F.lit(False)))

@@ -106,3 +106,56 @@ def test_odd_rows(spark, tables):
 
 def test_grades_that_are_given_are_used():
     assert C.severity_grades([np.array([1])] * 4, np.array([0, 1, 2, 4])).tolist() == [0, 1, 2, 4]
+
+
+def test_labels_over_one_are_grades_however_few_values_there_are(spark):
+    slots = [np.array([1])] * 3
+    assert C.severity_grades(slots, np.array([0, 2, 2])).tolist() == [0, 2, 2]
+    assert C.severity_grades(slots, np.array([1, 3, 3])).tolist() == [1, 3, 3]
+    assert C.severity_grades(slots, np.array([0, -1, 0]), graded=True).tolist() == [0, 0, 0]
+    words = ["calm water", "rude words here", "vile awful words", "calm sky"]
+    docs = spark.createDataFrame([(k, f"{words[k % 4]} {k}") for k in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, [0, 1, 3, 0][k % 4]) for k in range(200)], "doc_id long, toxic int")
+    got = C.toxicity_grades(docs, labels).collect()
+    assert all(r.grade == [0, 1, 3, 0][r.doc_id % 4] and r.rejected == (r.grade > 0) for r in got)
+
+
+def test_ordinal_fit_equals_a_plain_loop():
+    rng = np.random.default_rng(6)
+    grade = rng.integers(0, 4, 80)
+    slots = [np.unique(np.concatenate([rng.integers(20, 60, 6), rng.permutation(8)[: 2 * g]])) for g in grade.tolist()]
+    alpha, beta, l1, least, steps = 0.5, 1.0, 0.3, 0.2, 240
+    m = C.fit_ordinal(slots, grade, steps=steps, alpha=alpha, beta=beta, l1=l1, least_odds=least)
+    bad = [g > 0 for g in grade.tolist()]
+    told = set()
+    for f in {f for s in slots for f in s.tolist()}:
+        pos, neg = sum(b and f in s for s, b in zip(slots, bad)), sum(not b and f in s for s, b in zip(slots, bad))
+        odds = np.log((pos + 0.5) / (sum(bad) - pos + 0.5)) - np.log((neg + 0.5) / (len(bad) - sum(bad) - neg + 0.5))
+        told |= {f} if abs(odds) >= least else set()
+    shares = [np.mean(grade >= k) for k in (1, 2, 3)]
+    theta, z, n, pulled = [float(-np.log(p / (1 - p)) + 1e-3 * k) for k, p in enumerate(shares)], {}, {}, [1.0] * 3
+    theta = [max(theta[: k + 1]) for k in range(3)]
+
+    def weight(f):
+        zf = z.get(f, 0.0)
+        return 0.0 if abs(zf) <= l1 else -(zf - np.sign(zf) * l1) / ((beta + n.get(f, 0.0) ** 0.5) / alpha)
+
+    for _ in range(-(-steps // len(slots))):
+        for s, y in zip(slots, grade.tolist()):
+            own = [f for f in s.tolist() if f in told]
+            total, w = sum(map(weight, own)), {f: weight(f) for f in own}
+            p = [1 / (1 + np.exp(-(total - t))) for t in theta]
+            pull = [0.0] * 3
+            if y > 0:
+                pull[y - 1] = p[y - 1] - 1
+            if y < 3:
+                pull[y] = p[y]
+            g = sum(pull)
+            for f in own:
+                sigma = ((n.get(f, 0.0) + g * g) ** 0.5 - n.get(f, 0.0) ** 0.5) / alpha
+                z[f], n[f] = z.get(f, 0.0) + g - sigma * w[f], n.get(f, 0.0) + g * g
+            pulled = [a + b * b for a, b in zip(pulled, pull)]
+            theta = [t + 0.3 * a / b**0.5 for t, a, b in zip(theta, pull, pulled)]
+            theta = [max(theta[: k + 1]) for k in range(3)]
+    assert np.allclose(m.thresholds, theta, atol=1e-8)
+    assert np.allclose([m.weights[f] for f in range(60)], [weight(f) if f in told else 0.0 for f in range(60)], atol=1e-5) and np.abs(m.weights).max() > 0.1
