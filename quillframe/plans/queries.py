@@ -712,7 +712,8 @@ def made_packages(spark: SparkSession, d: str) -> DataFrame:
     sheet = F.concat(sheet[0], F.when(n % 3 == 0, own[0]).when(n % 3 == 1, own[1]).otherwise(F.lit("")), sheet[1])
     rels = f'<Relationships xmlns="{X.PACKAGE_RELATIONS}"><Relationship Id="rId1" Type="styles" Target="styles.xml"/></Relationships>'
     rows = F.array(*(F.struct(F.lit(k).alias("part_ord"), F.lit(n).alias("part_name"), c.alias("data")) for k, (n, c) in enumerate([(packages.CONTENT_TYPES, F.lit("<Types/>")), (packages.DOCUMENT, doc), (packages.RELS, F.lit(rels)), (packages.STYLES, sheet)])))
-    return table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.inline(rows)).withColumn("data", F.encode("data", "UTF-8"))
+    docs = tables.spread(table(spark, d, "documents"))
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.inline(rows)).withColumn("data", F.encode("data", "UTF-8"))
 
 
 _W = f'xmlns:w="{X.MAIN}" xmlns:w14="{X.WORD_2010}"'

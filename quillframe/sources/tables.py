@@ -34,6 +34,15 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many tasks as there are cores, if its files make fewer: work in Python on a small file would be one task.
+
+    A large table has more partitions than cores and is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path of its own in the folder, deleted when the driver ends."""
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
