@@ -67,3 +67,26 @@ def test_empty_documents(spark):
     for _, stage in P.STAGES:
         docs = stage(spark, docs, SF)
     assert docs.count() == 0
+
+
+def test_odd_rows_through_all_stages(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    good = docs.where("lang = 'en' and length(text) between 400 and 3000").orderBy("doc_id").limit(40)
+    clean = P.quality(spark, P.toxicity(spark, good, SF), SF).orderBy("doc_id").limit(3).collect()
+    text = clean[0].text
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first().text
+    rows = [(-1, None), (-2, ""), (None, text), (-3, text), (-3, text), (-4, text + "."), (-5, clean[1].text + " " + item + " " + clean[1].text), (-6, (clean[2].text + " ") * 300)]
+    odd = spark.createDataFrame([(i, t, "en", "odd", len(t or "")) for i, t in rows], docs.schema).withColumn("n_tokens", F.lit("x")).withColumn("score", F.lit(1)).withColumn("_gone", F.lit(0))
+    got, out = {}, odd
+    for name, stage in P.STAGES:
+        out = stage(spark, out, SF)
+        if name != "bpe_encoding":
+            assert out.columns == odd.columns
+            got[name] = sorted((r.doc_id or 0) for r in out.collect())
+    assert got["toxicity"] == sorted(i or 0 for i, _ in rows)
+    assert set(got["quality"]) >= {-3, -4, -5, 0} and -1 not in got["quality"] and got["quality"].count(-3) == 2
+    assert got["near_duplicates"].count(-4) == 1 and -3 not in got["near_duplicates"] and got["near_duplicates"].count(0) == 1  # the least id stays
+    assert -5 in got["near_duplicates"] and -5 not in got["benchmark_decontamination"]
+    assert sorted(r.doc_id or 0 for r in out.collect()) == got["benchmark_decontamination"]
