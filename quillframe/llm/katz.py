@@ -7,20 +7,23 @@ d are Good-Turing discounts from the counts of counts of the whole corpus (for r
 makes each context add up to one exactly, and P(w) spreads what Good-Turing leaves over the tokens never
 seen. Every count covers all documents.
 
-Layout: the trigrams of a context (u, v), its total and its weight all lie in partition
-``bucket(u, v)``, which depends on v, and on u only for tokens v so frequent that one partition would
-hold more than its share; so the bigrams that backing off needs are copied to few partitions. Each task
-adds up its counts before they move, as sorted arrays by partition. The tables hold a row for each
-partition and kind, with sorted keys and values as binary, so that a task evaluates by binary search.
-To score, the n-grams of a block of documents go to their partitions as distinct keys with the list of
-documents, are evaluated there recursively, and come back as sums for each document.
+Layout: the trigrams of a context (u, v), its total and its weight all lie in one partition, which
+depends on v, and on u only for tokens v so frequent that one partition would hold more than its share;
+so the bigrams that backing off needs are copied to few partitions. Each task adds up its counts before
+they move, as sorted arrays by partition. The tables hold a row for each partition and kind, with sorted
+keys and values as binary, so that a task evaluates by binary search; a task is one partition. To score,
+the n-grams of a block of documents go to their partitions as distinct keys with the list of documents,
+are evaluated there recursively, and come back as sums for each document. What a context has in the tables
+is bounded by the vocabulary, but what is asked of it isn't: contexts that would take more than their share
+of a partition's questions (two sentence starts, a comma and its conjunction) are copied to more partitions, among
+which the blocks that ask are spread.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +38,8 @@ from quillframe.llm.textblocks import mix64
 CUT = 5
 #: Bits of a token in a packed key; tokens of a block; tokens that a partition should hold.
 SHIFT, BLOCK_TOKENS, PARTITION_TOKENS = 21, 1_500_000, 8_000_000
+#: Distinct n-grams that a task holds before it passes their counts on.
+HELD = 6_000_000
 _MASK = (1 << SHIFT) - 1
 ROWS = "q int, kind string, keys binary, vals binary"
 _ROWS = pa.schema([("q", pa.int32()), ("kind", pa.string()), ("keys", pa.binary()), ("vals", pa.binary())])
@@ -121,12 +126,18 @@ def unigrams(counts: np.ndarray) -> np.ndarray:
     return p
 
 
+def _none() -> np.ndarray:
+    return np.zeros(0, np.int64)
+
+
 @dataclass(frozen=True)
 class Layout:
     """Where contexts lie."""
 
     partitions: int
     splits: np.ndarray  # of each token, BOS last: over how many partitions its contexts are spread
+    hot: np.ndarray = field(default_factory=_none)  # contexts with copies, in order
+    copies: np.ndarray = field(default_factory=_none)  # how many each has
 
     def sub(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
         return (mix64(u.astype(np.uint64) + np.uint64(1)) % self.splits[v].astype(np.uint64)).astype(np.int64)
@@ -138,6 +149,24 @@ class Layout:
         u, v = keys >> (2 * SHIFT), (keys >> SHIFT) & _MASK
         return self.place(v, self.sub(u, v))
 
+    def of_copy(self, context: np.ndarray, copy: np.ndarray) -> np.ndarray:
+        """Neighbouring partitions, from one that the context has by its hash."""
+        return ((mix64(context.astype(np.uint64)) % np.uint64(self.partitions)).astype(np.int64) + copy) % self.partitions
+
+    def where_hot(self, contexts: np.ndarray) -> np.ndarray:
+        """The index among the hot ones, -1 for the others."""
+        if not len(self.hot):
+            return np.full(len(contexts), -1)
+        at = np.minimum(np.searchsorted(self.hot, contexts), len(self.hot) - 1)
+        return np.where(self.hot[at] == contexts, at, -1)
+
+    def to_ask(self, keys: np.ndarray, asker: int) -> np.ndarray:
+        """Where a block asks for n-grams."""
+        q, at = self.of(keys), self.where_hot(keys >> SHIFT)
+        hot = np.flatnonzero(at >= 0)
+        q[hot] = self.of_copy(keys[hot] >> SHIFT, asker % self.copies[at[hot]])
+        return q
+
 
 @dataclass(frozen=True)
 class KatzModel:
@@ -198,6 +227,20 @@ def _rows(found: list[tuple[int, str, bytes, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), pa.array(kind, pa.string()), pa.array(keys, pa.binary()), pa.array(values, pa.binary())], schema=_ROWS)
 
 
+def _in_partitions(rows: DataFrame, partitions: int, run, schema: str, tables_first: bool = False) -> DataFrame:
+    """run(batches of ROWS) on each partition q as one task."""
+    rows = rows.repartitionById(partitions, F.col("q"))
+    if tables_first:
+        rows = rows.sortWithinPartitions(F.col("kind") == "ask")
+    return rows.mapInArrow(run, schema)
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str, bytes, bytes]]:
+    for batch in batches:
+        for k in range(len(batch)):
+            yield tuple(batch.column(c)[k].as_py() for c in range(4))
+
+
 def _by_partition(q: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
     """(partition, its part of each column), the order inside kept."""
     order = np.argsort(q, kind="stable")
@@ -224,32 +267,44 @@ def fit(tokens: DataFrame, vocabulary_size: int, partition_tokens: int = PARTITI
     total = int(counts[:bos].sum())
     start = spark.sparkContext.broadcast(unigrams(counts[:bos]))
     partitions = max(1, math.ceil(total / partition_tokens))
-    layout = Layout(partitions, np.maximum(1, np.ceil(2 * counts * partitions / max(total, 1))).astype(np.int64))
+    layout = Layout(partitions, np.maximum(1, np.ceil(4 * counts * partitions / max(total, 1))).astype(np.int64))
+
+    def passed_on(keys: np.ndarray, sums: np.ndarray) -> Iterator[pa.RecordBatch]:
+        yield _rows([(q, "3", pack_sorted(k), _pack(n)) for q, k, n in _by_partition(layout.of(keys), keys, sums)])
+        keys, sums = add_up(keys & ((1 << (2 * SHIFT)) - 1), sums)
+        yield _rows([(q, "2", pack_sorted(k), _pack(n)) for q, k, n in _by_partition(layout.place(keys >> SHIFT, np.zeros(len(keys), np.int64)), keys, sums)])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for _, ids in _blocks(batches, BLOCK_TOKENS):
             own, n = np.unique(trigram_keys(ids, bos)[0], return_counts=True)
             keys, sums = add_up(np.concatenate([keys, own]), np.concatenate([sums, n]))
-        yield _rows([(q, "3", pack_sorted(k), _pack(n)) for q, k, n in _by_partition(layout.of(keys), keys, sums)])
-        keys, sums = add_up(keys & ((1 << (2 * SHIFT)) - 1), sums)
-        yield _rows([(q, "2", pack_sorted(k), _pack(n)) for q, k, n in _by_partition(layout.place(keys >> SHIFT, np.zeros(len(keys), np.int64)), keys, sums)])
-
-    def merge(table: pa.Table) -> pa.Table:
+            if len(keys) > HELD:
+                yield from passed_on(keys, sums)
+                keys, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        yield from passed_on(keys, sums)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {"2": [], "3": []}
+        q = None
+        for q, kind, k, v in _cells(batches):
+            own = held[kind]
+            own.append((unpack_sorted(k), _unpack(v, "<i8")))
+            if len(own) > 1 and sum(len(x) for x, _ in own[1:]) > HELD:
+                own[:] = [add_up(*map(np.concatenate, zip(*own)))]
         found = []
-        for kind in ("2", "3"):
-            rows = [(unpack_sorted(k), _unpack(v, "<i8")) for t, k, v in zip(*(table.column(c).to_pylist() for c in ("kind", "keys", "vals"))) if t == kind]
-            if rows:
-                keys, sums = add_up(*map(np.concatenate, zip(*rows)))
-                found.append((table.column("q")[0].as_py(), kind, pack_sorted(keys), _pack(sums)))
-        return pa.Table.from_batches([_rows(found)])
+        for kind, own in held.items():
+            if own:
+                keys, sums = add_up(*map(np.concatenate, zip(*own)))
+                found.append((q, kind, pack_sorted(keys), _pack(sums)))
+        yield _rows(found)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for kind, values in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 yield pa.RecordBatch.from_arrays([pa.array([kind]), pa.array([counts_of_counts(_unpack(values, "<i8")).tolist()], pa.list_(pa.int64()))], names=["kind", "n"])
 
-    merged = shared.table(tokens.select("ref", "ids").mapInArrow(count, ROWS).groupBy("q").applyInArrow(merge, ROWS), "ngrams")
+    merged = shared.table(_in_partitions(tokens.select("ref", "ids").mapInArrow(count, ROWS), partitions, merge, ROWS), "ngrams")
     size = CUT + 2
     sums = merged.select("kind", "vals").mapInArrow(tally, "kind string, n array<long>").groupBy("kind").agg(*(F.sum(F.col("n")[k]).alias(f"n{k}") for k in range(size))).collect()
     d = {k: discounts(np.zeros(size, np.int64)) for k in ("2", "3")} | {r["kind"]: discounts(np.array([r[f"n{k}"] for k in range(size)])) for r in sums}
@@ -260,40 +315,80 @@ def fit(tokens: DataFrame, vocabulary_size: int, partition_tokens: int = PARTITI
                 keys, n = unpack_sorted(k), _unpack(n, "<i8")
                 v = keys >> SHIFT
                 p, contexts, alpha = context_model(v, n, start.value[keys & _MASK], d["2"])
-                found = []
-                for sub in range(int(layout.splits[v].max(initial=1))):
-                    here, there = layout.splits[v] > sub, layout.splits[contexts] > sub
-                    found += [(q, "p2", pack_sorted(a), _pack(b)) for q, a, b in _by_partition(layout.place(v[here], np.full(here.sum(), sub)), keys[here], np.log(p[here]))]
-                    with np.errstate(divide="ignore"):
-                        found += [(q, "a2", pack_sorted(a), _pack(b)) for q, a, b in _by_partition(layout.place(contexts[there], np.full(there.sum(), sub)), contexts[there], np.log(alpha[there]))]
-                yield _rows(found)
+                with np.errstate(divide="ignore"):
+                    tables = [("p2", keys, v, np.log(p)), ("a2", contexts, contexts, np.log(alpha))]
+                for name, own, token, values in tables:
+                    order = np.argsort(-layout.splits[token], kind="stable")
+                    splits = layout.splits[token][order]
+                    for sub in range(int(splits[0]) if len(splits) else 0):
+                        here = np.sort(order[: np.searchsorted(-splits, -sub)])  # those with more than sub splits
+                        yield _rows([(q, name, pack_sorted(a), _pack(b)) for q, a, b in _by_partition(layout.place(token[here], np.full(len(here), sub)), own[here], values[here])])
 
     two = shared.table(merged.where("kind = '2'").select("keys", "vals").mapInArrow(bigrams, ROWS), "katz2", partition_by="kind").select("q", "kind", "keys", "vals")
 
-    def trigrams(table: pa.Table) -> pa.Table:
-        part = Part(table, start.value)
-        found, q = [], table.column("q")[0].as_py()
-        for t, k, n in zip(*(table.column(c).to_pylist() for c in ("kind", "keys", "vals"))):
+    def trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = list(_cells(batches))
+        part = Part(cells, start.value)
+        for q, t, k, n in cells:
             if t == "3":
                 keys, n = unpack_sorted(k), _unpack(n, "<i8")
                 p, contexts, alpha = context_model(keys >> SHIFT, n, np.exp(part.two(keys & ((1 << (2 * SHIFT)) - 1))), d["3"])
                 with np.errstate(divide="ignore"):
-                    found += [(q, "p3", pack_sorted(keys), _pack(np.log(p))), (q, "a3", pack_sorted(contexts), _pack(np.log(alpha)))]
-        return pa.Table.from_batches([_rows(found)])
+                    yield _rows([(q, "p3", pack_sorted(keys), _pack(np.log(p))), (q, "a3", pack_sorted(contexts), _pack(np.log(alpha)))])
 
-    three = merged.where("kind = '3'").unionByName(two).groupBy("q").applyInArrow(trigrams, ROWS)
+    three = _in_partitions(merged.where("kind = '3'").unionByName(two), partitions, trigrams, ROWS)
     three = shared.table(three, "katz3", partition_by="kind").select("q", "kind", "keys", "vals")
-    return KatzModel(two.unionByName(three), start, layout)
+    layout = hot_contexts(merged, layout, max(1, partition_tokens // 4))
+    tables = two.unionByName(three)
+    return KatzModel(tables.unionByName(copies(tables, layout)) if len(layout.hot) else tables, start, layout)
+
+
+def hot_contexts(merged: DataFrame, layout: Layout, share: int) -> Layout:
+    """The layout with the contexts that occur more than ``share`` times; their number is at most tokens / share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                contexts, n = add_up(unpack_sorted(k) >> SHIFT, _unpack(n, "<i8"))
+                yield pa.RecordBatch.from_arrays([pa.array(contexts[n > share]), pa.array(n[n > share])], names=["context", "n"])
+
+    found = sorted((r["context"], r["n"]) for r in merged.where("kind = '3'").select("keys", "vals").mapInArrow(run, "context long, n long").collect())
+    contexts, n = (np.array(x, np.int64) for x in zip(*found)) if found else (_none(), _none())
+    return Layout(layout.partitions, layout.splits, contexts, np.minimum(-(-n // share), layout.partitions))
+
+
+def copies(tables: DataFrame, layout: Layout) -> DataFrame:
+    """Rows of the tables for the copies of hot contexts: their trigrams and weights, and the bigrams and weights of their last token."""
+    last = np.unique(layout.hot & _MASK)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for home, kind, k, v in _cells(batches):
+            keys, values = unpack_sorted(k), _unpack(v, "<f8")
+            owner = keys >> SHIFT if kind[0] == "p" else keys
+            here = np.isin(owner, layout.hot if kind[1] == "3" else last)
+            if kind[1] == "2":  # of the copies that bigrams have anyway, the first
+                here &= layout.place(owner, np.zeros(len(owner), np.int64)) == home
+            keys, values, owner = keys[here], values[here], owner[here]
+            for of in np.unique(owner).tolist():
+                own = owner == of
+                packed = pack_sorted(keys[own]), _pack(values[own])
+                contexts = np.flatnonzero(layout.hot == of) if kind[1] == "3" else np.flatnonzero((layout.hot & _MASK) == of)
+                for c in contexts.tolist():
+                    q = layout.of_copy(np.full(layout.copies[c], layout.hot[c]), np.arange(layout.copies[c]))
+                    yield _rows([(int(x), kind, *packed) for x in q])
+
+    return tables.mapInArrow(run, ROWS)
 
 
 class Part:
     """One partition of the tables, evaluated recursively for arrays of packed n-grams; natural logarithms."""
 
-    def __init__(self, table: pa.Table, start: np.ndarray) -> None:
+    def __init__(self, table: pa.Table | list[tuple], start: np.ndarray) -> None:
         self.start = np.log(start)
         self.maps: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        cells = table if isinstance(table, list) else list(zip(*(table.column(c).to_pylist() for c in ("q", "kind", "keys", "vals"))))
         for name in ("p2", "a2", "p3", "a3"):
-            rows = [(unpack_sorted(k), _unpack(v, "<f8")) for t, k, v in zip(*(table.column(c).to_pylist() for c in ("kind", "keys", "vals"))) if t == name]
+            rows = [(unpack_sorted(k), _unpack(v, "<f8")) for _, t, k, v in cells if t == name]
             keys, values = map(np.concatenate, zip(*rows)) if rows else (np.zeros(0, np.int64), np.zeros(0))
             order = np.argsort(keys, kind="stable")
             self.maps[name] = keys[order], values[order]
@@ -325,6 +420,7 @@ def score_tokens(tokens: DataFrame, model: KatzModel) -> DataFrame:
     layout, start, bos = model.layout, model.start, len(model.start.value)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asker = TaskContext.get().partitionId()
         for refs, ids in _blocks(batches, BLOCK_TOKENS):
             keys, doc = trigram_keys(ids, bos)
             del ids
@@ -332,29 +428,33 @@ def score_tokens(tokens: DataFrame, model: KatzModel) -> DataFrame:
             keys, doc = keys[order], doc[order].astype(np.int32)
             del order
             found = []
-            for q, k, d in _by_partition(layout.of(keys).astype(np.int32), keys, doc):
+            for q, k, d in _by_partition(layout.to_ask(keys, asker).astype(np.int32), keys, doc):
                 at = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
                 n = np.diff(np.append(at, len(k)))
                 own, index = np.unique(d, return_inverse=True)
                 parts = [pack_sorted(k[at]), _pack(n.astype("<u4")), _pack(index.astype("<u2" if len(own) <= 1 << 16 else "<u4")), pack_sorted(refs[own])]
                 found.append((q, "ask", np.array([len(p) for p in parts], "<i8").tobytes() + b"".join(parts), b""))
+            asker += 1
             yield _rows(found)
 
-    def answer(table: pa.Table) -> pa.Table:
-        part = Part(table, start.value)
-        refs, sums = [np.zeros(0, np.int64)], [np.zeros(0)]
-        for t, b in zip(table.column("kind").to_pylist(), table.column("keys").to_pylist()):
-            if t == "ask":
-                cuts = 32 + np.append(0, np.cumsum(np.frombuffer(b[:32], "<i8")))
-                k, n, index, own = (b[x:y] for x, y in zip(cuts, cuts[1:]))
-                own = unpack_sorted(own)
-                values = np.repeat(part.three(unpack_sorted(k)), _unpack(n, "<u4"))
-                refs.append(own)
-                sums.append(np.bincount(_unpack(index, "<u2" if len(own) <= 1 << 16 else "<u4"), weights=values, minlength=len(own)))
-        return pa.table({"ref": np.concatenate(refs), "logprob": np.concatenate(sums)})
-
-    asked = tokens.select("ref", "ids").mapInArrow(ask, ROWS)
-    return asked.unionByName(model.tables).groupBy("q").applyInArrow(answer, "ref long, logprob double").groupBy("ref").agg(F.sum("logprob").alias("logprob"))
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables, part = [], None
+        for cell in _cells(batches):  # the tables come first
+            if cell[1] != "ask":
+                tables.append(cell)
+                continue
+            if part is None:
+                part, tables = Part(tables, start.value), []
+            b = cell[2]
+            cuts = 32 + np.append(0, np.cumsum(np.frombuffer(b[:32], "<i8")))
+            k, n, index, own = (b[x:y] for x, y in zip(cuts, cuts[1:]))
+            own = unpack_sorted(own)
+            values = np.repeat(part.three(unpack_sorted(k)), _unpack(n, "<u4"))
+            sums = np.bincount(_unpack(index, "<u2" if len(own) <= 1 << 16 else "<u4"), weights=values, minlength=len(own))
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(sums)], names=["ref", "logprob"])
+
+    asked = tokens.select("ref", "ids").mapInArrow(ask, ROWS).unionByName(model.tables)
+    return _in_partitions(asked, layout.partitions, answer, "ref long, logprob double", tables_first=True).groupBy("ref").agg(F.sum("logprob").alias("logprob"))
 
 
 def score(docs: DataFrame, train: DataFrame | None = None, path: str = vocabulary.DEFAULT_PATH, id_col: str = "doc_id", text_col: str = "text", partition_tokens: int = PARTITION_TOKENS) -> DataFrame:

@@ -123,3 +123,17 @@ def test_odd_rows(spark):
     assert K.score(docs.limit(0)).count() == 0
     empty = K.score(docs.where("doc_id = 3"), docs.limit(0)).collect()
     assert all(abs(r.perplexity - SIZE) < 1e-3 for r in empty)
+
+
+def test_hot_contexts_are_copied_and_their_questions_spread(spark):
+    raw = vocabulary.send(spark)
+    tokens = K.shared.table(K.encode(sample(spark, 300, 4), raw, "doc_id", "text"), "tokens")
+    model = K.fit(tokens, SIZE, 2_000)
+    layout = model.layout
+    assert len(layout.hot) > 3 and layout.copies.max() > 1
+    assert layout.where_hot(np.append(layout.hot, 5 << K.SHIFT | 7)).tolist() == [*range(len(layout.hot)), -1]
+    for context, n in zip(layout.hot.tolist(), layout.copies.tolist()):
+        assert len({int(layout.to_ask(np.array([context << K.SHIFT | 3]), k)[0]) for k in range(50)}) == n
+    want = {r.ref: r.logprob for r in K.score_tokens(tokens, K.fit(tokens, SIZE, 10**9)).collect()}
+    got = {r.ref: r.logprob for r in K.score_tokens(tokens, model).collect()}
+    assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-6
