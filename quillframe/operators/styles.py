@@ -25,13 +25,18 @@ def body_styles(paras: DataFrame) -> DataFrame:
     return paras.where("style_id is not null").select("doc_id", "style_id").distinct()
 
 
+def classified(index: DataFrame) -> DataFrame:
+    """index with the class of each name as the struct ``c``, if it hasn't that yet."""
+    return index if "c" in index.columns else index.withColumn("c", classify_style("name"))
+
+
 def heading_slots(index: DataFrame, used: DataFrame) -> DataFrame:
     """(doc_id, level, name): the blueprint's style for each heading level.
 
     First the outline levels, then the classified names. In each pass names come in byte order; an empty
     slot is taken, and a name that is used in the body takes the slot from any before it.
     """
-    para = index.where("type_val = 1").withColumn("c", classify_style("name"))
+    para = classified(index.where("type_val = 1"))
     by_outline = para.where("outline_level between 0 and 8").select("doc_id", "name", (F.col("outline_level") + 1).alias("level"), F.lit(0).alias("pass"))
     by_name = para.where("c.class like 'heading%'").select("doc_id", "name", F.col("c.heading_level").alias("level"), F.lit(1).alias("pass"))
     marks = used.select("doc_id", F.col("style_id").alias("name"), F.lit(True).alias("_used")).distinct()
@@ -70,7 +75,7 @@ def resolve(wanted: DataFrame, index: DataFrame, used: DataFrame, overrides: Dat
     is resolved once.
     """
     keys = wanted.select("doc_id", "name", "class", "heading_level").distinct()
-    para = index.where("type_val = 1").withColumn("c", classify_style("name"))
+    para = classified(index.where("type_val = 1"))
     labels = ("title", "body", "footnote", "caption", "blockquote", "abstract")
     per_doc = para.groupBy("doc_id").agg(*(_first(k) for k in labels), F.min("name").alias("_any"))
     normal = index.where("name = 'Normal'").select("doc_id", F.lit("Normal").alias("_normal")).distinct()

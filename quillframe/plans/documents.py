@@ -316,20 +316,29 @@ def apply_headings(parts: DataFrame, inferred: DataFrame, blueprint_parts: DataF
 def style_mapping(source: DataFrame, target: DataFrame, pairs: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
     """(doc_id, style_id, new_id) for each paragraph style that a source's body uses.
 
-    pairs: blueprint_id, source_id; doc_id is the source's. overrides: doc_id, source, target names.
+    pairs: blueprint_id, source_id; doc_id is the source's. overrides: doc_id, source, target names. Style sheets
+    are parsed and their names classified once, into tables; what a name maps to is worked out once for each
+    blueprint, however many sources use the name.
     """
     from quillframe.functions.styles import classify_style
 
     pairs = pairs.select(F.col("blueprint_id").cast("string").alias("blueprint_id"), F.col("source_id").cast("string").alias("doc_id"))
-    bp_index = style_ops.style_index(styles(target)).withColumnRenamed("doc_id", "blueprint_id").join(pairs, "blueprint_id").drop("blueprint_id")
-    bp_used = body_styles(target).withColumnRenamed("doc_id", "blueprint_id").join(pairs, "blueprint_id").drop("blueprint_id")
-    src_index = style_ops.style_index(styles(source))
-    used = body_styles(source).withColumn("p_idx", F.lit(0))
-    names = used.join(src_index.groupBy("doc_id", "style_id").agg(F.min("name").alias("name")), ["doc_id", "style_id"], "left").withColumn("name", F.coalesce("name", "style_id"))
+    bp_index = tables.table(style_ops.classified(style_ops.style_index(styles(target))), "styles")
+    bp_used = tables.table(style_ops.body_styles(body_styles(target)), "used")
+    own = style_ops.style_index(styles(source)).groupBy("doc_id", "style_id").agg(F.min("name").alias("name"))
+    names = style_ops.body_styles(body_styles(source)).join(own, ["doc_id", "style_id"], "left").withColumn("name", F.coalesce("name", "style_id"))
+    names = tables.table(names.join(pairs, "doc_id"), "names")
+
     c = classify_style("name")
-    wanted = names.select("doc_id", "name", c["class"].alias("class"), c["heading_level"].alias("heading_level")).distinct()
-    mapped = style_ops.resolve(wanted, bp_index, bp_used, overrides)
-    return style_ops.remap(used, src_index, mapped, bp_index).select("doc_id", "style_id", "new_id")
+    wanted = names.select(F.col("blueprint_id").alias("doc_id"), "name").distinct().select("doc_id", "name", c["class"].alias("class"), c["heading_level"].alias("heading_level"))
+    mapped = style_ops.resolve(wanted, bp_index, bp_used).select(F.col("doc_id").alias("blueprint_id"), "name", "mapped")
+    j = names.join(mapped, ["blueprint_id", "name"], "left").withColumn("_to", F.coalesce("mapped", "name"))
+    if overrides is not None:
+        o = overrides.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("source").alias("name"), F.col("target").alias("_target"))
+        o = o.join(pairs, "doc_id").join(bp_index.select(F.col("doc_id").alias("blueprint_id"), F.col("name").alias("_target")), ["blueprint_id", "_target"], "left_semi").groupBy("doc_id", "name").agg(F.min("_target").alias("_target"))
+        j = j.join(o, ["doc_id", "name"], "left").withColumn("_to", F.coalesce("_target", "_to"))
+    ids = bp_index.groupBy(F.col("doc_id").alias("blueprint_id"), F.col("name").alias("_to")).agg(F.min("style_id").alias("_id"))
+    return j.join(ids, ["blueprint_id", "_to"], "left").select("doc_id", "style_id", F.coalesce("_id", "_to").alias("new_id"))
 
 
 def apply_mapping(parts: DataFrame, mapping: DataFrame) -> DataFrame:
