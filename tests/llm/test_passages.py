@@ -54,6 +54,17 @@ def test_shared_passage_is_found(spark):
     assert out.count() >= 1
 
 
+def test_every_shared_passage_of_the_guarantee_is_found():
+    rng = random.Random(12)
+    size = W.GRAM + W.WINDOW - 1
+    assert size <= 67
+    for _ in range(200):
+        passage = "".join(rng.choice("abcdefgh") for _ in range(size))
+        texts = ["".join(rng.choice("ijklmnop") for _ in range(rng.randrange(200))) + passage + "".join(rng.choice("qrstuv") for _ in range(rng.randrange(200))) for _ in range(2)]
+        doc, _, h = W.winnow(np.array([ord(c) for t in texts for c in t], np.uint32), np.cumsum([len(t) for t in texts]))
+        assert set(h[doc == 0].tolist()) & set(h[doc == 1].tolist())
+
+
 def test_fingerprints_of_odd_rows(spark):
     long = "some long text without end " * 40_000
     rows = [(1, None), (2, ""), (3, "too short"), (None, long[:500]), (4, long), (4, long)]
