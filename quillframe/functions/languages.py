@@ -66,12 +66,9 @@ def parse_language(c: Column) -> Column:
     )
 
 
-def language_sql(c: str) -> tuple[str, str]:
-    """DuckDB expressions for (name, code); ``c`` without white space around it."""
-    code = f"regexp_full_match({c}, '[A-Za-z]{{1,3}}')"
-    by_code = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in BY_CODE.items())
-    by_name = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in BY_NAME.items())
-    return f"CASE WHEN {code} THEN CASE lower({c}) {by_code} ELSE {c} END ELSE {c} END", f"CASE WHEN {code} THEN lower({c}) ELSE CASE lower({c}) {by_name} ELSE {c} END END"
+def language_code(c: Column) -> Column:
+    """The code alone, as local models want it."""
+    return parse_language(c)["code"]
 
 
 STYLES = {

@@ -71,3 +71,8 @@ def count_of(c: Column, needle: str) -> Column:
 def markers(c: Column) -> Column:
     """All [digits] of a text, the digits only, from left to right."""
     return F.regexp_extract_all(c, F.lit(r"\[([0-9]+)\]"), F.lit(1))
+
+
+def shortened(c: Column, n: int = 400) -> Column:
+    """At most n characters, with an ellipsis where something is cut off."""
+    return F.when(F.char_length(c) > n, F.concat(F.substring(c, 1, n), F.lit("…"))).otherwise(c)

@@ -43,6 +43,11 @@ def remove(parts: DataFrame, name: str) -> DataFrame:
     return parts.where(F.col("part_name") != name)
 
 
+def by_name(parts: DataFrame) -> DataFrame:
+    """One row for each name of a package: of several parts of a name the last counts, as in a map by name."""
+    return parts.groupBy("doc_id", "part_name").agg(F.max_by("data", "part_ord").alias("data"))
+
+
 def inspect(parts: DataFrame) -> DataFrame:
     """Name and size of every part, and how many the package has."""
     return parts.select("doc_id", "part_ord", "part_name", F.octet_length("data").alias("n_bytes"), F.count(F.lit(1)).over(Window.partitionBy("doc_id")).alias("n_parts"))

@@ -53,6 +53,11 @@ class MockProvider:
         return f"[{target}] " + " ".join(reversed(text.split(" ")))
 
 
+def shortened(text: str, n: int = 400) -> str:
+    """At most n characters of what went wrong, with an ellipsis where something is cut off."""
+    return text if len(text) <= n else text[:n] + "…"
+
+
 def _post(url: str, body: dict, headers: dict[str, str]) -> dict:
     request = urllib.request.Request(url, json.dumps(body).encode(), {"content-type": "application/json", **headers})
     with urllib.request.urlopen(request, timeout=TIMEOUT_S) as reply:
@@ -99,7 +104,7 @@ class HttpProvider:
                 out = reply["choices"][0]["message"]["content"]
             return out.strip()
         except (OSError, ValueError, KeyError, IndexError, StopIteration, TypeError, AttributeError) as e:
-            raise ProviderError(f"{self.name}: {type(e).__name__} {e}"[:400]) from e
+            raise ProviderError(shortened(f"{self.name}: {type(e).__name__} {e}")) from e
 
 
     def list_models(self) -> list[tuple[str, str]]:
@@ -119,7 +124,7 @@ class HttpProvider:
                     out.append((m.get("id"), f"ctx: {n}" if n else "Available"))
             return [(i, c) for i, c in out if i]
         except (OSError, ValueError, KeyError, TypeError, AttributeError) as e:
-            raise ProviderError(f"{self.name}: {type(e).__name__} {e}"[:400]) from e
+            raise ProviderError(shortened(f"{self.name}: {type(e).__name__} {e}")) from e
 
 
 #: Name, kind of wire, host and path, default model; in the order in which keys are looked for. A key is NAME_API_KEY; without one: ollama.
@@ -160,7 +165,7 @@ class LocalProvider:
         try:
             return _MODELS[self.name, self.path](text, source, target)
         except Exception as e:
-            raise ProviderError(f"{self.name}: {e}"[:400]) from e
+            raise ProviderError(shortened(f"{self.name}: {e}")) from e
 
 
 _MODELS: dict = {}

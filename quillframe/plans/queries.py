@@ -71,6 +71,14 @@ def part_remove(spark, d):
     return packages.remove(proxies.parts(spark, d), packages.FOOTNOTES).select("doc_id", "part_ord", "part_name")
 
 
+@query(with_("parts") + "SELECT doc_id // 2 AS doc_id, part_name, md5(arg_max(data, doc_id * 10 + part_ord)) AS data FROM parts GROUP BY 1, 2")
+def parts_by_name(spark, d):
+    """Two pages as a package, so that most names are there twice."""
+    p = proxies.parts(spark, d)
+    twice = p.select(F.expr("doc_id div 2").alias("doc_id"), (F.col("doc_id") * 10 + F.col("part_ord")).alias("part_ord"), "part_name", "data")
+    return packages.by_name(twice).select("doc_id", "part_name", _md5("data"))
+
+
 @query(with_("parts") + "SELECT doc_id, part_ord, part_name, strlen(data)::INTEGER AS n_bytes, count(*) OVER (PARTITION BY doc_id) AS n_parts FROM parts")
 def inspect_parts(spark, d):
     return packages.inspect(proxies.parts(spark, d))
@@ -628,6 +636,18 @@ def language_parse(spark, d):
     return given.select("input", p["name"].alias("name"), p["code"].alias("code"))
 
 
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{x[0]}', '{x[2]}')" for x in _LANGUAGES) + ") AS t(input, code)")
+def language_code(spark, d):
+    given = spark.range(1).select(F.explode(F.array(*(F.lit(x[0]) for x in _LANGUAGES))).alias("input"))
+    return given.select("input", languages.language_code(F.col("input")).alias("code"))
+
+
+@query("SELECT page_id, md5(CASE WHEN length(html) > 400 THEN substring(html, 1, 400) || '…' ELSE html END) AS short FROM (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN html ELSE substring(html, 1, 400) END AS html FROM pages)")
+def shortened_errors(spark, d):
+    html = F.when(F.col("page_id") % 2 == 0, F.col("html")).otherwise(F.substring("html", 1, 400))
+    return table(spark, d, "pages").select("page_id", F.md5(text.shortened(html).cast("binary")).alias("short"))
+
+
 @query(f"SELECT item_id, 'Translate from English into German. {languages.STYLES['fluent']} Answer with the translation only.' || chr(10) || chr(10) || text AS prompt FROM benchmark")
 def build_prompt(spark, d):
     return table(spark, d, "benchmark").select("item_id", languages.build_prompt(F.col("text"), F.lit("English"), F.lit("German"), "fluent").alias("prompt"))
@@ -834,6 +854,56 @@ def docx_strip_paragraph_bold(spark, d):
     return _document(documents.strip_paragraph_bold(made_packages(spark, d)))
 
 
+def _edited(parts: DataFrame, *pairs: tuple[str, str], when: Column | None = None) -> DataFrame:
+    """The document parts with texts replaced."""
+    data = F.col("data").cast("string")
+    for old, new in pairs:
+        data = F.replace(data, F.lit(old), F.lit(new))
+    concerned = (F.col("part_name") == packages.DOCUMENT) & (F.lit(True) if when is None else when)
+    return parts.withColumn("data", F.when(concerned, data.cast("binary")).otherwise(F.col("data")))
+
+
+@query(with_("lines") + f""", {_xml(rpr=f"CASE WHEN doc_id % 2 = 0 THEN {_RPR.replace('<w:b/>', '<w:b w:val="false"/>')} ELSE {_NO_BOLD} END")} SELECT doc_id, CASE WHEN n % 2 = 0 THEN 0 ELSE (n_paras + 2) // 3 END::INTEGER AS n_changed, md5(xml) AS data FROM docs""")
+def bold_switched_off(spark, d):
+    """Bold that says false is none: nothing to strip in every second document."""
+    p = _edited(made_packages(spark, d), ("<w:b/>", '<w:b w:val="false"/>'), when=F.col("doc_id").cast("bigint") % 2 == 0)
+    return _document(documents.strip_paragraph_bold(p))
+
+
+@query(with_("lines") + f""", {_xml(rpr=f"CASE WHEN doc_id % 2 = 0 THEN {_RPR} || '<w:footnoteReference w:id=\"1\"/>' ELSE {_CLEAN} END")} SELECT doc_id, CASE WHEN n % 2 = 0 THEN 0 ELSE 2 * n_paras END::INTEGER AS n_changed, md5(xml) AS data FROM docs""")
+def runs_with_references_stay(spark, d):
+    """Runs with a note reference keep their properties."""
+    p = _edited(made_packages(spark, d), ("</w:rPr><w:t", '</w:rPr><w:footnoteReference w:id="1"/><w:t'), when=F.col("doc_id").cast("bigint") % 2 == 0)
+    return _document(documents.clean_runs(p))
+
+
+def _cited_packages(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Packages in which each line cites note 1, and notes 1 and 2 for each."""
+    p = _edited(made_packages(spark, d), ("</w:t>", " [1] [9]</w:t>"))
+    notes_ = p.where("part_ord = 0").select("doc_id", F.explode(F.expr("array(named_struct('note_id', 1L, 'body', 'one <'), named_struct('note_id', 2L, 'body', 'two'))")).alias("n"))
+    return p, notes_.select("doc_id", "n.note_id", "n.body")
+
+
+_MARKED = f"""'<w:t xml:space="preserve">' || {_escaped('text')} || ' </w:t></w:r><w:r><w:rPr><w:rStyle w:val="FootnoteReference"/></w:rPr><w:footnoteReference w:id="1"/></w:r><w:r>' || {_RPR} || '<w:t xml:space="preserve"> [9]</w:t>'"""
+
+
+@query(with_("lines") + f", {_xml(text=_MARKED)} SELECT doc_id, md5(xml) AS data FROM docs")
+def inject_footnotes_packages(spark, d):
+    return _document(documents.inject_footnotes(*_cited_packages(spark, d))[0])
+
+
+@query(with_("lines") + "SELECT doc_id::VARCHAR AS doc_id, count(*)::INTEGER AS n_inserted, [2]::BIGINT[] AS unused_ids, [9]::BIGINT[] AS cited_unknown_ids FROM lines GROUP BY doc_id")
+def inject_footnotes_report(spark, d):
+    return documents.inject_footnotes(*_cited_packages(spark, d))[1]
+
+
+@query(with_("lines") + f", {_xml().replace("ELSE 'Normal' END", "ELSE 'Body' END")} SELECT doc_id, md5(xml) AS data FROM docs")
+def apply_style_mapping(spark, d):
+    p = made_packages(spark, d)
+    mapping = p.where("part_ord = 0").select("doc_id", F.explode(F.expr("map('Normal', 'Body', 'Other', 'X')")).alias("style_id", "new_id"))
+    return _document(documents.apply_mapping(p, mapping))
+
+
 @query(with_("lines") + f", {_xml(rpr=_RPR.replace('<w:b/>', '<w:bCs/>').replace('w:sz ', 'w:szCs '))} SELECT doc_id, (n_paras + (n_paras + 2) // 3)::INTEGER AS n_changed, md5(xml) AS data FROM docs")
 def normalize_tags(spark, d):
     """Misspelt tags are made right."""
