@@ -18,16 +18,20 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import groupby
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from quillframe.operators.packages import CONTENT_TYPES
 
 SCHEMA = "doc_id string, source string, part_ord int, part_name string, data binary, error string"
+_ARROW = pa.schema([("doc_id", pa.string()), ("source", pa.string()), ("part_ord", pa.int32()), ("part_name", pa.string()), ("data", pa.binary()), ("error", pa.string())])
 GROUP_BYTES = 64 << 20
+#: Bytes of parts after which a reading task sends on what it has read.
+BATCH_BYTES = 2 << 20
 
 
 def read_parts(data: bytes, wanted: set[str] | None = None) -> tuple[list[tuple[int, str, bytes]], str | None]:
@@ -107,7 +111,17 @@ class _Reader(DataSourceReader):
             size += n
         return [_Files(tuple(g)) for g in groups]
 
-    def read(self, partition: _Files) -> Iterator[tuple]:
+    def read(self, partition: _Files) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for row in self._rows(partition):
+            if held and size > BATCH_BYTES:
+                yield _batch(held)
+                held, size = [], 0
+            held.append(row)
+            size += len(row[4] or b"")
+        yield _batch(held)
+
+    def _rows(self, partition: _Files) -> Iterator[tuple]:
         files, _ = _file_system(self.path)
         for name, path in partition.files:
             with files.open_input_stream(path, compression=None) as f:
@@ -120,23 +134,30 @@ class _Reader(DataSourceReader):
                 yield name, path, k, part, data, None
 
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [()] * len(_ARROW)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW)], schema=_ARROW)
+
+
 @dataclass
 class _Written(WriterCommitMessage):
     files: tuple[tuple[str, str], ...]
 
 
-class _Writer(DataSourceWriter):
+class _Writer(DataSourceArrowWriter):
     """Rows have to come by doc_id, as ``write_packages`` sorts them: one package is held at a time."""
 
     def __init__(self, options: dict, overwrite: bool) -> None:
         self.path, self.overwrite = options["path"], overwrite
 
-    def write(self, rows) -> _Written:
+    def write(self, batches: Iterator[pa.RecordBatch]) -> _Written:
         files, base = _file_system(self.path)
         attempt, done = TaskContext.get().taskAttemptId(), []
         files.create_dir(base, recursive=True)
-        for name, own in groupby(rows, key=lambda r: str(r["doc_id"])):
-            parts = sorted((r["part_ord"], r["part_name"], bytes(r["data"])) for r in own)
+        # rows become Python objects one at a time, however large a batch is
+        rows = (tuple(c[k].as_py() for c in b.select(["doc_id", "part_ord", "part_name", "data"]).columns) for b in batches for k in range(len(b)))
+        for name, own in groupby(rows, key=lambda r: str(r[0])):
+            parts = sorted(r[1:] for r in own)
             final = f"{base.rstrip('/')}/{name}.docx"
             if "/" in name:
                 files.create_dir(final.rsplit("/", 1)[0], recursive=True)
@@ -188,8 +209,6 @@ def write_packages(parts: DataFrame, path: str) -> None:
 
 def archives_of(parts: DataFrame) -> DataFrame:
     """doc_id, content: the packages as binary rows; one shuffle on doc_id, then a batch of rows at a time."""
-    import pyarrow as pa
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(len(batch)):
@@ -210,14 +229,13 @@ def path_below(folder: str) -> Column:
 
 def parts_of(files: DataFrame) -> DataFrame:
     """files: doc_id, content (binary), as from the binaryFile source, batch or stream: to parts."""
-    import pyarrow as pa
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for k in range(len(batch)):
+                doc, content = (c[k].as_py() for c in batch.columns)
                 parts, error = read_parts(content or b"")
                 rows = [(k, n, d, None) for k, n, d in parts] or [(None, None, None, error)]
-                k, n, d, e = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array([doc] * len(rows), pa.string()), pa.array(k, pa.int32()), pa.array(n, pa.string()), pa.array(d, pa.binary()), pa.array(e, pa.string())], names=["doc_id", "part_ord", "part_name", "data", "error"])
+                ords, n, d, e = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array([doc] * len(rows), pa.string()), pa.array(ords, pa.int32()), pa.array(n, pa.string()), pa.array(d, pa.binary()), pa.array(e, pa.string())], names=["doc_id", "part_ord", "part_name", "data", "error"])
 
     return files.select(F.col("doc_id").cast("string"), "content").mapInArrow(run, "doc_id string, part_ord int, part_name string, data binary, error string")
