@@ -4,19 +4,26 @@ Each page is parsed into elements (tags left open are closed as browsers do for
 linear in its length, however deep its elements and however its quotes and tags are left open. An element's
 subtree is hashed from its own source, runs of white space as one space, and the hashes of its children.
 Spark counts on how many pages of a host each subtree recurs; those on many pages are deleted from every page
-of that host, the outermost first, and the text of what is left is extracted. Pages and their subtrees meet by
-(host, hash) and then by page, so that no host's templates need to fit anywhere together and a large host is
-no hot key.
+of that host, the outermost first, and the text of what is left is extracted. Subtrees are counted by
+(host, hash), so that a large host is no hot key. Pages stay where they are read: the templates, which are few
+beside them, are broadcast in slices of whole hosts, with a pass over the pages of those hosts for each. Only
+the pages of hosts beyond those slices move, to meet their hashes by page: no host's templates need to fit
+anywhere together.
 """
 
 from __future__ import annotations
 
 import html as entities
+import math
 import re
+from array import array
 from bisect import bisect_left
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Container, Iterator
+from functools import reduce
+from typing import Any
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -26,6 +33,8 @@ from quillframe.llm import shared
 
 #: A subtree is a template from so many pages of its host on; shorter subtrees are left alone.
 MIN_PAGES, MIN_CHARS = 5, 24
+#: About so many templates are broadcast at once, 8 bytes each, and so often at most. Where they are more than a slice, hosts with over a sixteenth of one are left to the join.
+SLICE, PASSES = 2_000_000, 16
 
 _TOKEN = re.compile(r"<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*+>?|(/?)([a-zA-Z][^\s/>]*+)(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(>?))", re.S)
 _NAME_END, _SPECIAL = re.compile(r"[\s/>]"), re.compile(r"[>\"']")
@@ -203,7 +212,7 @@ def subtree_hashes(source: str, min_chars: int = MIN_CHARS) -> list[tuple[int, i
     return [(a, b, h) for name, a, b, h in _elements(collapse(source), True)[0] if _can_go(name, b - a, min_chars)]
 
 
-def extract(source: str, templates: set[int], min_chars: int = MIN_CHARS) -> tuple[str, int]:
+def extract(source: str, templates: Container[int], min_chars: int = MIN_CHARS) -> tuple[str, int]:
     """The text without the outermost subtrees whose hash is a template, and how many those were."""
     source = collapse(source)
     elements, markup = _elements(source, bool(templates))
@@ -242,11 +251,8 @@ def host_of(url: Column) -> Column:
     return F.when(host != "", host)
 
 
-def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_chars: int = MIN_CHARS, min_share: float = 0.0) -> tuple[DataFrame, DataFrame]:
-    """All (page_key, host, hash), and (host, hash, n_pages) of those on min_pages pages and ``min_share`` of the host's pages at least.
-
-    pages: page_key, host, html. Several rows of one page count once.
-    """
+def subtrees(pages: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(page_key, host, hash) of the pages (page_key, host, html), each hash of a row once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -260,8 +266,16 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_chars: int = MIN
                     found += own
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(hosts, pa.string()), pa.array(found, pa.int64())], names=["page_key", "host", "hash"])
 
-    nodes = pages.where("html is not null and host is not null").select("page_key", "host", "html").mapInArrow(run, "page_key long, host string, hash long")
-    nodes = shared.table(nodes, "nodes")
+    pages = pages.where("html is not null and host is not null").select("page_key", "host", "html")
+    return pages.mapInArrow(run, "page_key long, host string, hash long")
+
+
+def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_chars: int = MIN_CHARS, min_share: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """All (page_key, host, hash), and (host, hash, n_pages) of those on min_pages pages and ``min_share`` of the host's pages at least.
+
+    pages: page_key, host, html. Several rows of one page count once.
+    """
+    nodes = subtrees(pages, min_chars)
     counts = nodes.distinct().groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n_pages")).where(F.col("n_pages") >= min_pages)
     if min_share > 0:
         hosts = pages.where("html is not null and host is not null").groupBy("host").agg(F.count_distinct("page_key").alias("_all"))
@@ -269,27 +283,85 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_chars: int = MIN
     return nodes, counts
 
 
-def extract_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_chars: int = MIN_CHARS, min_share: float = 0.0) -> DataFrame:
+class Known:
+    """The templates of many hosts, 8 bytes each: hashes in the order of their hosts' seeds."""
+
+    def __init__(self, seeds: np.ndarray, hashes: np.ndarray) -> None:
+        order = np.lexsort((hashes, seeds))
+        of_host, starts = np.unique(seeds[order], return_index=True)
+        self.seeds, self.starts, self.hashes = (array("q", x.astype(np.int64).tobytes()) for x in (of_host, np.append(starts, len(order)), hashes[order]))
+
+    def of(self, seed: int) -> Container[int]:
+        k = bisect_left(self.seeds, seed)
+        return _Between(self.hashes, self.starts[k], self.starts[k + 1]) if k < len(self.seeds) and self.seeds[k] == seed else ()
+
+
+class _Between:
+    """The sorted hashes from start to end, looked up where they are."""
+
+    def __init__(self, hashes: array, start: int, end: int) -> None:
+        self.hashes, self.start, self.end = hashes, start, end
+
+    def __contains__(self, digest: int) -> bool:
+        k = bisect_left(self.hashes, digest, self.start, self.end)
+        return k < self.end and self.hashes[k] == digest
+
+
+def _extracted(batches: Iterator[pa.RecordBatch], found: Callable[[Any], Container[int]], min_chars: int) -> Iterator[pa.RecordBatch]:
+    """page_id, host, text, n_removed of page_id, host, html and a last column of which ``found`` makes the page's templates."""
+    for batch in batches:
+        for k in range(0, len(batch), 256):
+            part = batch.slice(k, 256)
+            got = [(None, None) if source is None else extract(source, () if x is None else found(x), min_chars) for source, x in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([t for t, _ in got], pa.string()), pa.array([r for _, r in got], pa.int32())], names=["page_id", "host", "text", "n_removed"])
+
+
+_EXTRACTED = "page_id long, host string, text string, n_removed int"
+
+
+def _by_broadcast(pages: DataFrame, counts: DataFrame, min_chars: int) -> DataFrame:
+    """The text of pages (page_id, host, html), where they are, by the templates (host, hash) of all their hosts."""
+    held = counts.select(F.xxhash64("host").alias("seed"), "hash").toArrow()
+    known = pages.sparkSession.sparkContext.broadcast(Known(held["seed"].to_numpy(), held["hash"].to_numpy()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _extracted(batches, known.value.of, min_chars)
+
+    return pages.select("page_id", "host", "html", F.expr("if(host is null, null, xxhash64(host))").alias("seed")).mapInArrow(run, _EXTRACTED)
+
+
+def _by_join(pages: DataFrame, counts: DataFrame, min_chars: int) -> DataFrame:
+    """The text of pages (page_id, host, html, page_key) by joins: of their subtrees with the templates (host, hash), and of pages with what was found."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _extracted(batches, set, min_chars)
+
+    per_page = subtrees(pages, min_chars).join(counts, ["host", "hash"]).groupBy("page_key").agg(F.collect_set("hash").alias("hashes"))
+    return pages.join(per_page, "page_key", "left").select("page_id", "host", "html", "hashes").mapInArrow(run, _EXTRACTED)
+
+
+def extract_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_chars: int = MIN_CHARS, min_share: float = 0.0, slice_size: int = SLICE, passes: int = PASSES) -> DataFrame:
     """``page_id, host, text, n_removed``: one row for each row of pages (page_id, url, html).
 
     A subtree of at least ``min_chars`` characters is a template of its host from ``min_pages`` of its pages on, if those are
     ``min_share`` of all its pages at least: on a large host a few copies of an article aren't one. n_removed counts the deleted subtrees. A null html has a null text; an empty one an empty text. Pages
     whose url has no host keep everything, and so do hosts with fewer than ``min_pages`` pages. Rows are told apart
     by id and content: repeated rows, and rows with one id or a null one, each give their own row, and equal ones count
-    as one page.
+    as one page. ``slice_size`` and ``passes`` say how the templates travel and don't change the result.
     """
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url").cast("string")).alias("host"), F.col("html").cast("string").alias("html"))
     base = base.withColumn("page_key", F.xxhash64("page_id", "host", "html"))
-    nodes, counts = templates(base, min_pages, min_chars, min_share)
-    counts = shared.table(counts, "templates")
-    per_page = nodes.join(counts, ["host", "hash"]).groupBy("page_key").agg(F.collect_set("hash").alias("hashes"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, len(batch), 256):
-                part = batch.slice(k, 256)
-                got = [(None, None) if source is None else extract(source, set(hashes or ()), min_chars) for source, hashes in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([t for t, _ in got], pa.string()), pa.array([r for _, r in got], pa.int32())], names=["page_id", "host", "text", "n_removed"])
-
-    joined = base.join(per_page, "page_key", "left").select("page_id", "host", "html", "hashes")
-    return joined.mapInArrow(run, "page_id long, host string, text string, n_removed int")
+    counts = shared.table(templates(base, min_pages, min_chars, min_share)[1], "templates")
+    if counts.count() <= slice_size:
+        return _by_broadcast(base, counts, min_chars)
+    fits = F.col("n") <= slice_size // 16
+    per_host = counts.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
+    total, large = per_host.agg(F.sum(F.when(fits, F.col("n"))), F.collect_list(F.when(~fits, F.col("host")))).first()
+    slices = max(1, math.ceil((total or 0) / slice_size))
+    passes = min(slices, passes)
+    host = F.col("host")
+    which = F.when(host.isNull(), 0).when(host.isin(large), passes).otherwise(F.least(F.pmod(F.xxhash64(host), F.lit(slices)), F.lit(passes)))
+    parts = [_by_broadcast(base.where(which == k), counts.where(which == k), min_chars) for k in range(passes)]
+    if large or slices > passes:
+        parts.append(_by_join(base.where(which == passes), counts.where(which == passes), min_chars))
+    return reduce(DataFrame.union, parts)

@@ -131,3 +131,26 @@ def test_short_subtrees_and_shares_are_parameters(spark):
     assert removed() == {k: int(k < 6) for k in range(100)}
     assert removed(min_share=0.1) == dict.fromkeys(range(100), 0)
     assert removed(min_share=0.1, min_chars=8) == dict.fromkeys(range(100), 1)
+
+
+def test_pages_dont_move(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    plan = T.extract_text(pages, min_share=0.02)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Exchange" not in plan and "Join" not in plan
+
+
+def test_slices_and_the_join_beyond_them_dont_change_the_result(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html")
+    odd = frame(spark, [(-k, f"https://large.example/{k}", "".join(f"<p>a paragraph of the large host {j}</p>" for j in range(k % 2, 200))) for k in range(1, 9)]).select("page_id", "url", "html")
+    odd = odd.union(odd.where("page_id > -3")).union(frame(spark, [(-9, "no host", page("y")), (None, "https://large.example/", None), (-10, None, "")]).select("page_id", "url", "html"))
+    pages = pages.union(odd)
+    rows = lambda **x: sorted(map(repr, T.extract_text(pages, min_pages=2, **x).collect()))
+    whole = rows()
+    assert len(whole) == pages.count() and sum("n_removed=0" not in x for x in whole) > 20
+    base = pages.select(F.col("page_id").alias("page_key"), T.host_of(F.col("url")).alias("host"), "html")
+    n = {r.host: r["count"] for r in T.templates(base, 2)[1].groupBy("host").count().collect()}
+    small = sum(n.values()) - n["large.example"]
+    assert n["large.example"] > 150 and small > 60
+    size = 16 * max(v for k, v in n.items() if k != "large.example")
+    for x in (dict(slice_size=size), dict(slice_size=size // 4), dict(slice_size=16, passes=2), dict(slice_size=16, passes=0)):
+        assert rows(**x) == whole
