@@ -22,7 +22,7 @@ which the blocks that ask are spread.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -42,6 +42,7 @@ SHIFT, BLOCK_TOKENS, PARTITION_TOKENS = 21, 1_500_000, 8_000_000
 HELD = 6_000_000
 _MASK = (1 << SHIFT) - 1
 ROWS = "q int, kind string, keys binary, vals binary"
+TOKENS = "ref long, doc_id long, n_tokens int, ids binary"
 _ROWS = pa.schema([("q", pa.int32()), ("kind", pa.string()), ("keys", pa.binary()), ("vals", pa.binary())])
 
 
@@ -175,9 +176,7 @@ class KatzModel:
     layout: Layout
 
 
-def encode(docs: DataFrame, raw: Broadcast, id_col: str, text_col: str) -> DataFrame:
-    """(ref, doc_id, n_tokens, ids): ref tells rows apart; ids as 4 bytes each, null for a null text."""
-
+def _encoding(raw: Broadcast) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, ref = vocabulary.encoding(raw.value).encode_ordinary, TaskContext.get().partitionId() << 40
         for batch in batches:
@@ -191,7 +190,21 @@ def encode(docs: DataFrame, raw: Broadcast, id_col: str, text_col: str) -> DataF
                     names=["ref", "doc_id", "n_tokens", "ids"],
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "ref long, doc_id long, n_tokens int, ids binary")
+    return run
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
+def encode(docs: DataFrame, raw: Broadcast, id_col: str, text_col: str) -> DataFrame:
+    """(ref, doc_id, n_tokens, ids): ref tells rows apart; ids as 4 bytes each, null for a null text."""
+    return _texts(docs, id_col, text_col).mapInArrow(_encoding(raw), TOKENS)
+
+
+def encoded(docs: DataFrame, raw: Broadcast, id_col: str, text_col: str) -> DataFrame:
+    """What ``encode`` gives, in the shared folder."""
+    return shared.made(_texts(docs, id_col, text_col), _encoding(raw), TOKENS, "tokens")
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
@@ -227,12 +240,9 @@ def _rows(found: list[tuple[int, str, bytes, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), pa.array(kind, pa.string()), pa.array(keys, pa.binary()), pa.array(values, pa.binary())], schema=_ROWS)
 
 
-def _in_partitions(rows: DataFrame, partitions: int, run, schema: str, tables_first: bool = False) -> DataFrame:
-    """run(batches of ROWS) on each partition q as one task."""
-    rows = rows.repartitionById(partitions, F.col("q"))
-    if tables_first:
-        rows = rows.sortWithinPartitions(F.col("kind") == "ask")
-    return rows.mapInArrow(run, schema)
+def _in_partitions(rows: DataFrame, partitions: int) -> DataFrame:
+    """Each partition q as one task."""
+    return rows.repartitionById(partitions, F.col("q"))
 
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str, bytes, bytes]]:
@@ -304,7 +314,7 @@ def fit(tokens: DataFrame, vocabulary_size: int, partition_tokens: int = PARTITI
             for kind, values in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 yield pa.RecordBatch.from_arrays([pa.array([kind]), pa.array([counts_of_counts(_unpack(values, "<i8")).tolist()], pa.list_(pa.int64()))], names=["kind", "n"])
 
-    merged = shared.table(_in_partitions(tokens.select("ref", "ids").mapInArrow(count, ROWS), partitions, merge, ROWS), "ngrams")
+    merged = shared.made(_in_partitions(tokens.select("ref", "ids").mapInArrow(count, ROWS), partitions), merge, ROWS, "ngrams")
     size = CUT + 2
     sums = merged.select("kind", "vals").mapInArrow(tally, "kind string, n array<long>").groupBy("kind").agg(*(F.sum(F.col("n")[k]).alias(f"n{k}") for k in range(size))).collect()
     d = {k: discounts(np.zeros(size, np.int64)) for k in ("2", "3")} | {r["kind"]: discounts(np.array([r[f"n{k}"] for k in range(size)])) for r in sums}
@@ -324,7 +334,7 @@ def fit(tokens: DataFrame, vocabulary_size: int, partition_tokens: int = PARTITI
                         here = np.sort(order[: np.searchsorted(-splits, -sub)])  # those with more than sub splits
                         yield _rows([(q, name, pack_sorted(a), _pack(b)) for q, a, b in _by_partition(layout.place(token[here], np.full(len(here), sub)), own[here], values[here])])
 
-    two = shared.table(merged.where("kind = '2'").select("keys", "vals").mapInArrow(bigrams, ROWS), "katz2", partition_by="kind").select("q", "kind", "keys", "vals")
+    two = shared.made(merged.where("kind = '2'").select("keys", "vals"), bigrams, ROWS, "katz2")
 
     def trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = list(_cells(batches))
@@ -336,8 +346,7 @@ def fit(tokens: DataFrame, vocabulary_size: int, partition_tokens: int = PARTITI
                 with np.errstate(divide="ignore"):
                     yield _rows([(q, "p3", pack_sorted(keys), _pack(np.log(p))), (q, "a3", pack_sorted(contexts), _pack(np.log(alpha)))])
 
-    three = _in_partitions(merged.where("kind = '3'").unionByName(two), partitions, trigrams, ROWS)
-    three = shared.table(three, "katz3", partition_by="kind").select("q", "kind", "keys", "vals")
+    three = shared.made(_in_partitions(merged.where("kind = '3'").unionByName(two), partitions), trigrams, ROWS, "katz3")
     layout = hot_contexts(merged, layout, max(1, partition_tokens // 4))
     tables = two.unionByName(three)
     return KatzModel(tables.unionByName(copies(tables, layout)) if len(layout.hot) else tables, start, layout)
@@ -454,7 +463,8 @@ def score_tokens(tokens: DataFrame, model: KatzModel) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(sums)], names=["ref", "logprob"])
 
     asked = tokens.select("ref", "ids").mapInArrow(ask, ROWS).unionByName(model.tables)
-    return _in_partitions(asked, layout.partitions, answer, "ref long, logprob double", tables_first=True).groupBy("ref").agg(F.sum("logprob").alias("logprob"))
+    rows = _in_partitions(asked, layout.partitions).sortWithinPartitions(F.col("kind") == "ask")
+    return rows.mapInArrow(answer, "ref long, logprob double").groupBy("ref").agg(F.sum("logprob").alias("logprob"))
 
 
 def score(docs: DataFrame, train: DataFrame | None = None, path: str = vocabulary.DEFAULT_PATH, id_col: str = "doc_id", text_col: str = "text", partition_tokens: int = PARTITION_TOKENS) -> DataFrame:
@@ -466,8 +476,8 @@ def score(docs: DataFrame, train: DataFrame | None = None, path: str = vocabular
     """
     raw = vocabulary.send(docs.sparkSession, path)
     size = len(vocabulary.token_lengths(raw.value))
-    tokens = shared.table(encode(docs, raw, id_col, text_col), "tokens")
-    model = fit(tokens if train is None else shared.table(encode(train, raw, id_col, text_col), "tokens"), size, partition_tokens)
+    tokens = encoded(docs, raw, id_col, text_col)
+    model = fit(tokens if train is None else encoded(train, raw, id_col, text_col), size, partition_tokens)
     sums = score_tokens(tokens, model)
     out = tokens.select("ref", "doc_id", "n_tokens").join(sums, "ref", "left")
     logprob = F.when(F.col("n_tokens").isNotNull(), F.round(F.coalesce("logprob", F.lit(0.0)), 6))

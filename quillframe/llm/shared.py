@@ -1,5 +1,5 @@
 """Tables in the folder that all executors share, which cut lineage: those of the library."""
 
-from quillframe.sources.tables import folder, table
+from quillframe.sources.tables import folder, made, table
 
-__all__ = ["folder", "table"]
+__all__ = ["folder", "made", "table"]

@@ -1,6 +1,8 @@
 import math
+import os
 import random
 from collections import Counter, defaultdict
+from urllib.parse import urlsplit
 
 import numpy as np
 import pytest
@@ -137,3 +139,47 @@ def test_hot_contexts_are_copied_and_their_questions_spread(spark):
     want = {r.ref: r.logprob for r in K.score_tokens(tokens, K.fit(tokens, SIZE, 10**9)).collect()}
     got = {r.ref: r.logprob for r in K.score_tokens(tokens, model).collect()}
     assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-6
+
+
+def test_tables_are_written_by_the_workers(spark, monkeypatch):
+    """Hadoop would start three processes for each task, each of which counts as its executor's memory again."""
+    made, made_in = [], K.shared.made
+
+    def kept(*args):
+        made.append(made_in(*args))
+        return made[-1]
+
+    monkeypatch.setattr(K.shared, "made", kept)
+    monkeypatch.setattr(K.shared, "table", lambda *args: pytest.fail("written by Hadoop"))
+    docs = sample(spark, 60, 5)
+    got = K.score(docs, partition_tokens=3_000)
+    assert got.count() == docs.count() and len(made) == 4
+    for df in made:
+        folders = {os.path.dirname(urlsplit(f).path) for f in df.inputFiles()}
+        assert len(folders) == 1 and all(f.startswith("part-") and f.endswith(".parquet") for f in os.listdir(folders.pop()))
+
+
+def test_made_tables_hold_what_ended_once(spark):
+    def run(batches):
+        for batch in batches:
+            yield batch.slice(0, 0)
+            for k in range(len(batch)):
+                yield batch.slice(k, 1)
+
+    def half(batches):
+        yield next(batches)
+        raise ValueError("half of it")
+
+    rows = spark.range(0, 1000, 1, 7).withColumn("b", F.col("id").cast("string").cast("binary"))
+    got = K.shared.made(rows, run, "id long, b binary", "whole")
+    assert got.dtypes == rows.dtypes
+    assert sorted((r.id, bytes(r.b)) for r in got.collect()) == [(k, str(k).encode()) for k in range(1000)]
+    assert K.shared.made(rows.limit(0), run, "id long, b binary", "none").count() == 0
+    before = set(os.listdir(folder := urlsplit(K.shared.folder(spark)).path))
+    with pytest.raises(Exception, match="half of it"):
+        K.shared.made(rows, half, "id long, b binary", "half")
+    assert not [f for x in set(os.listdir(folder)) - before for f in os.listdir(os.path.join(folder, x)) if f[0] not in "_."]
+    path = os.path.join(urlsplit(got.inputFiles()[0]).path.rpartition("/")[0], "_left-by-a-lost-task.parquet")
+    with open(path, "wb") as f:
+        f.write(b"PAR1")
+    assert spark.read.parquet(os.path.dirname(path)).count() == 1000
