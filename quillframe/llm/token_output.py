@@ -62,7 +62,7 @@ def _encode(docs: DataFrame, raw, id_col: str, text_col: str) -> DataFrame:
                 ids = [None if t is None else np.array(encode(vocabulary.utf8_safe(t)), kind).tobytes() for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary")
+    return shared.made(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, "doc_id long, ids binary", "tokens")
 
 
 def train(tokens: DataFrame, kind: str, dict_bytes: int = DICT_BYTES, fan_in: int = FAN_IN) -> bytes:
@@ -91,7 +91,7 @@ def train(tokens: DataFrame, kind: str, dict_bytes: int = DICT_BYTES, fan_in: in
         found = content([c for x in table.sort_by("content").column("content").to_pylist() for c in cut(x)])
         return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int64()), "content": pa.array([found], pa.binary())})
 
-    level = shared.table(tokens.select("doc_id", "ids").mapInArrow(local, "part long, content binary"), "contents")
+    level = shared.made(tokens.select("doc_id", "ids"), local, "part long, content binary", "contents")
     while level.count() > fan_in:
         level = level.select(F.expr(f"part div {fan_in}").alias("part"), "content").groupBy("part").applyInArrow(merge, "part long, content binary")
         level = shared.table(level, "contents")
@@ -141,7 +141,7 @@ def token_output(docs: DataFrame, path: str = vocabulary.DEFAULT_PATH, id_col: s
     spark = docs.sparkSession
     raw = vocabulary.send(spark, path)
     kind = id_type(raw.value)
-    tokens = shared.table(_encode(docs, raw, id_col, text_col), "tokens")
+    tokens = _encode(docs, raw, id_col, text_col)
     dictionary = train(tokens, kind)
     row = [("dictionary", None, None, -1, 0, len(dictionary), dictionary_hash(dictionary), bytearray(dictionary))]
     return spark.createDataFrame(row, SCHEMA).unionByName(compress(tokens, kind, dictionary))

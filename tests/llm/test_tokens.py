@@ -211,3 +211,8 @@ def test_training_errors_on_enough_samples_are_errors(monkeypatch):
     assert token_output.learn([b"few"] * 5) == b""
     with pytest.raises(token_output.zstandard.ZstdError):
         token_output.learn([b"x" * 10_000] * 200, 65536)
+
+
+def test_ids_and_contents_are_written_by_the_workers(spark, monkeypatch):
+    monkeypatch.setattr(token_output.shared, "table", lambda *args: pytest.fail("written by Hadoop"))
+    assert token_output.token_output(frame(spark)).count() > 1
